@@ -3,9 +3,9 @@
 1. Document frequencies of five-word shingles, over all documents, in a count sketch of fixed size.
 2. Each text gets K consistent weighted samples; three of them are a band.  Equal texts are one class
    from here on.
-3. Classes that share a band are compared with the smallest id among them (never all pairs); those
-   too far from it try again among themselves until none is left.  Each comparison verifies the
-   weighted Jaccard similarity of the whole texts.
+3. Classes that share a band are compared pair by pair if they are few.  In larger buckets all are
+   compared with one centre; those too far from it meet again in finer buckets until none is left.
+   Each comparison verifies the weighted Jaccard similarity of the whole texts.
 4. Links become groups by alternating large and small stars.
 
 A hot group costs one comparison per member; members, not pairs, are shuffled, and hot keys meet
@@ -25,10 +25,12 @@ from orogen.llm.cluster import dropped, written
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of samples: a pair at 0.8 shares one with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
+#: Members of a bucket up to which all its pairs are compared, and centres of a larger one, about.
+FEW = 16
 #: log2 of the counters of the document frequency sketch, and its chunks.
 SKETCH, CHUNKS = 20, 64
 #: A shingle in fewer than one of RARE documents counts as rare; IDF lies in [1, 1 + LIFT].
-RARE, LIFT = 500, 0.25
+RARE, LIFT = 500, 0.15
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -218,21 +220,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", sim
 
 
 def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, similarity: float) -> DataFrame:
-    """Verified links (a, b) between the representatives of different texts, a > b."""
-    spread = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.posexplode(F.array(*names)).alias("band", "value"))
-    crowd = spread.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1").drop("n")
-    members = written(spread.join(crowd, ["band", "value"]).select("id", "band", "value", "centre"), "neardup-members")
-    own = members.select("id").distinct()
+    """Verified links (a, b) between the representatives of different texts, a > b.
+
+    Classes that share a band value are a bucket.  In a bucket of at most ``FEW`` all pairs are
+    compared.  Members of a larger one are compared with its smallest id; those too far from it are
+    dealt into finer buckets, by each other band they share, which again are compared pair by pair
+    where they are few and with ``FEW`` centres otherwise, until none is left over.
+    """
+    spread = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.array(*names).alias("all"))
+    spread = spread.select("id", "all", F.posexplode("all").alias("band", "value"))
+    spread = spread.withColumn("bucket", F.xxhash64("band", "value")).drop("value")
+    crowd = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1")
+    members = written(spread.join(crowd, "bucket"), "neardup-members")
     # the texts of candidates, once: what the rounds read is the share of the corpus that has a near copy
+    own = members.select("id").distinct()
     kept = written(texts.filter("id is not null").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
-    schema = "a long, b long"
+
+    def one(text: str) -> tuple:
+        _, _, per, h = next(B.words(pa.array([text], pa.string())))
+        return weighted((per, h), weigh.value)
 
     def verify(batches):
         memo: dict[int, tuple] = {}
         for batch in batches:
             ok = []
             a, b, x, y = (batch.column(k) for k in range(4))
-            for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+            for k, j in enumerate(b.to_pylist()):
                 if j not in memo:
                     if len(memo) > 200:
                         memo.clear()
@@ -241,27 +254,38 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    def one(text: str) -> tuple:
-        _, _, per, h = next(B.words(pa.array([text], pa.string())))
-        return weighted((per, h), weigh.value)
-
-    links, tried = None, None
+    def few(rows: DataFrame) -> DataFrame:
+        """All pairs of buckets of at most FEW members."""
+        x = rows.filter(F.col("n") <= FEW).select("bucket", F.col("id").alias("a"))
+        return x.join(x.withColumnRenamed("a", "b"), "bucket").filter("a > b").select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
+
+    many = members.filter(F.col("n") > FEW)
+    stars = many.filter("id > centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    tried = written(few(members).unionByName(stars).distinct(), "neardup-pairs")
+    links = compared(tried)
+    far = many.filter("id > centre").join(links.withColumnsRenamed({"a": "id", "b": "centre"}), ["id", "centre"], "left_anti")
+    finer = far.select("id", "bucket", "band", F.posexplode("all").alias("other", "value")).filter("other <> band")
+    rest = finer.select("id", F.xxhash64("bucket", "other", "value").alias("bucket"))
     while True:
-        pairs = members.filter("id > centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        left = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a")
-        both = left.join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b").select("a", "b", "x", "y")
-        new = written(both.mapInArrow(verify, schema), "neardup-links")
-        links = new if links is None else links.unionByName(new)
-        # who is neither centre nor linked to it tries again among its like
-        rest = members.filter("id > centre").join(links.withColumnsRenamed({"a": "id", "b": "centre"}), ["id", "centre"], "left_anti").drop("centre")
-        tried_now = members.filter("id > centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-        tried = tried_now if tried is None else tried.unionByName(tried_now)
-        crowd = rest.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1").drop("n")
-        members = written(rest.join(crowd, ["band", "value"]).select("id", "band", "value", "centre"), "neardup-members")
+        crowd = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        members = written(rest.join(crowd, "bucket"), "neardup-members")
         if members.isEmpty():
             return links
+        # the smallest ids of a large bucket: a sum that combines before the shuffle, no window over a bucket
+        heads = written(members.filter(F.col("n") > FEW).groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("id", "bucket"), F.greatest(F.floor(F.col("n") / FEW), F.lit(1).cast("long"))) == 0, F.col("id")))), 1, 4 * FEW).alias("heads")), "neardup-heads")
+        pairs = members.filter(F.col("n") > FEW).join(heads, "bucket").select("id", F.explode("heads").alias("head")).filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+        pairs = written(few(members).unionByName(pairs).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+        new = compared(pairs)
+        links, tried = links.unionByName(new), tried.unionByName(pairs)
+        # who is no centre and linked to none tries again among its like
+        large = members.filter(F.col("n") > FEW).drop("n").join(heads, "bucket").filter(~F.array_contains("heads", F.col("id")))
+        met = large.select("id", "bucket", F.explode("heads").alias("head")).select("id", "bucket", F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+        met = met.join(links, ["a", "b"]).select("id", "bucket").distinct()
+        rest = large.select("id", "bucket").join(met, ["id", "bucket"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
