@@ -230,8 +230,12 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
     spread = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.array(*names).alias("all"))
     spread = spread.select("id", "all", F.posexplode("all").alias("band", "value"))
     spread = spread.withColumn("bucket", F.xxhash64("band", "value")).drop("value")
-    crowd = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1")
-    members = written(spread.join(crowd, "bucket"), "neardup-members")
+    crowd = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(spread.join(crowd, "bucket"), "neardup-crowded")
+    # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
+    standing = members.groupBy("id").agg(F.sum("n").alias("standing"))
+    best = members.filter(F.col("n") > FEW).join(standing, "id").groupBy("bucket").agg(F.max(F.struct("standing", (-F.col("id")).alias("id"))).alias("best"))
+    members = written(members.join(best.select("bucket", (-F.col("best.id")).alias("centre")), "bucket", "left"), "neardup-members")
     # the texts of candidates, once: what the rounds read is the share of the corpus that has a near copy
     own = members.select("id").distinct()
     kept = written(texts.filter("id is not null").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
@@ -264,10 +268,10 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
 
     many = members.filter(F.col("n") > FEW)
-    stars = many.filter("id > centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    stars = many.filter("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
     tried = written(few(members).unionByName(stars).distinct(), "neardup-pairs")
     links = compared(tried)
-    far = many.filter("id > centre").join(links.withColumnsRenamed({"a": "id", "b": "centre"}), ["id", "centre"], "left_anti")
+    far = many.filter("id <> centre").withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(links, ["a", "b"], "left_anti")
     finer = far.select("id", "bucket", "band", F.posexplode("all").alias("other", "value")).filter("other <> band")
     rest = finer.select("id", F.xxhash64("bucket", "other", "value").alias("bucket"))
     while True:
