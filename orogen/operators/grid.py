@@ -33,10 +33,11 @@ def assemble(tiles: DataFrame, rows: int, columns: int, missing: float = 0.0) ->
     The north-west tile must be there.
     """
     spark = tiles.sparkSession
-    corner = tiles.filter("tr = 0 AND tc = 0").limit(1).agg(F.assert_true(F.count("*") > 0, "the north-west tile is missing").alias("ok"))
+    if tiles.filter("tr = 0 AND tc = 0").isEmpty():
+        raise ValueError("the north-west tile is missing")
     grid = spark.range(9).select((F.col("id").cast("long").alias("t"))).select(F.floor(F.col("t") / 3).alias("tr"), (F.col("t") % 3).alias("tc"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows * columns - 1).cast("long"))).alias("k"))
     grid = grid.select("tr", "tc", F.floor(F.col("k") / columns).alias("r"), (F.col("k") % columns).alias("c"))
-    joined = grid.join(tiles, ["tr", "tc", "r", "c"], "left").join(F.broadcast(corner), F.lit(True), "left")
+    joined = grid.join(tiles, ["tr", "tc", "r", "c"], "left")
     return joined.select((F.col("tr") * rows + F.col("r")).alias("r"), (F.col("tc") * columns + F.col("c")).alias("c"), F.coalesce("h", F.lit(missing)).alias("h"))
 
 

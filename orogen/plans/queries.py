@@ -168,9 +168,6 @@ def assemble_3x3(spark, sf_dir):
     return grid.assemble(tiled.filter("NOT (tr = 1 AND tc = 2)"), 64, 16)
 
 
-SMOOTH = "(x) * (x) * (3 - 2 * (x))"
-
-
 @query(f"WITH {T.V1}, fine AS (SELECT r, c, h + 5 AS f FROM v1 WHERE r < 60 AND c < 60), x AS (SELECT v1.r, v1.c, h, f, v1.c * CAST(30 AS DOUBLE) AS x, v1.r * CAST(30 AS DOUBLE) AS y FROM v1 LEFT JOIN fine ON v1.r = fine.r AND v1.c = fine.c), t AS (SELECT r, c, h, f, CASE WHEN x < 1800 AND y < 1800 AND f IS NOT NULL THEN greatest(0, least(1, least(x, 1800 - x, y, 1800 - y) / CAST(500 AS DOUBLE))) ELSE 0 END AS t FROM x) SELECT r, c, round(h + (coalesce(f, h) - h) * t * t * (3 - 2 * t), 6) + 0.0 AS h FROM t")
 def tier_blend(spark, sf_dir):
     base = T.raster(spark, sf_dir)
@@ -222,7 +219,7 @@ def _probes(n: int) -> list[tuple[int, int, int, float]]:
 _HB = ", ".join(f"({k}, {i}, {j}, {d(far)})" for k, i, j, far in _probes(4))
 
 
-@query(f"WITH {T.V1}, n AS (SELECT max(r) AS m, max(c) AS n FROM v1), p(d, i, j, far) AS (VALUES {_HB}), s AS (SELECT a.r, a.c, d, max((b.h - a.h) / far) AS slope FROM v1 a, n, p, v1 b WHERE b.r = greatest(0, least(m, a.r + i)) AND b.c = greatest(0, least(n, a.c + j)) GROUP BY ALL), t AS (SELECT r, c, greatest(0, slope) AS t FROM s) SELECT r, c, round(CAST(sum(CAST(round(1 - t / sqrt(1 + t * t), 9) AS DECIMAL(18,9))) AS DOUBLE) / 4, 6) + 0.0 AS ao FROM t GROUP BY r, c")
+@query(f"WITH {T.V1}, n AS (SELECT max(r) AS m, max(c) AS n FROM v1), p(d, i, j, far) AS (VALUES {_HB}), q AS (SELECT a.r, a.c, a.h, d, far, greatest(0, least(m, a.r + i)) AS pr, greatest(0, least(n, a.c + j)) AS pc FROM v1 a, n, p), s AS (SELECT q.r, q.c, d, max((b.h - q.h) / far) AS slope FROM q JOIN v1 b ON b.r = pr AND b.c = pc GROUP BY ALL), t AS (SELECT r, c, greatest(0, slope) AS t FROM s) SELECT r, c, round(CAST(sum(CAST(round(1 - t / sqrt(1 + t * t), 9) AS DECIMAL(18,9))) AS DOUBLE) / 4, 6) + 0.0 AS ao FROM t GROUP BY r, c")
 def hbao(spark, sf_dir):
     cells = T.raster(spark, sf_dir)
     return rounded(sample.horizon_occlusion(cells, *size(cells), DX, DX), "ao")
@@ -231,7 +228,7 @@ def hbao(spark, sf_dir):
 _SS = ", ".join(f"({i}, {j}, {d(z)})" for i, j, z in sample.hemisphere_kernel(8, DX, DX))
 
 
-@query(f"WITH {T.V1}, n AS (SELECT max(r) AS m, max(c) AS n FROM v1), p(i, j, z) AS (VALUES {_SS}), s AS (SELECT a.r, a.c, greatest(0, least(1, (a.h + z - b.h + 50) / 100)) AS t FROM v1 a, n, p, v1 b WHERE b.r = greatest(0, least(m, a.r + i)) AND b.c = greatest(0, least(n, a.c + j))) SELECT r, c, round(CAST(sum(CAST(round(t * t * (3 - 2 * t), 9) AS DECIMAL(18,9))) AS DOUBLE) / 8, 6) + 0.0 AS ao FROM s GROUP BY r, c")
+@query(f"WITH {T.V1}, n AS (SELECT max(r) AS m, max(c) AS n FROM v1), p(i, j, z) AS (VALUES {_SS}), q AS (SELECT a.r, a.c, a.h + z AS z, greatest(0, least(m, a.r + i)) AS pr, greatest(0, least(n, a.c + j)) AS pc FROM v1 a, n, p), s AS (SELECT q.r, q.c, greatest(0, least(1, (z - b.h + 50) / 100)) AS t FROM q JOIN v1 b ON b.r = pr AND b.c = pc) SELECT r, c, round(CAST(sum(CAST(round(t * t * (3 - 2 * t), 9) AS DECIMAL(18,9))) AS DOUBLE) / 8, 6) + 0.0 AS ao FROM s GROUP BY r, c")
 def ssao(spark, sf_dir):
     cells = T.raster(spark, sf_dir)
     return rounded(sample.hemisphere_occlusion(cells, sample.hemisphere_kernel(8, DX, DX), *size(cells)), "ao")
