@@ -40,7 +40,7 @@ def _rows(path: str, grid: np.ndarray, row: int = 0, column: int = 0):
 
 def read_bil(spark: SparkSession, path: str) -> DataFrame:
     """16-bit BIL grids (with the .hdr beside each) as cells; the nodata value becomes null."""
-    heads = spark.read.option("wholetext", True).text(f"{path}/*.hdr").select(F.regexp_replace(F.input_file_name(), r"\.hdr$", "").alias("name"), F.col("value").alias("head"))
+    heads = spark.read.text(f"{path}/*.hdr", wholetext=True).select(F.regexp_replace(F.input_file_name(), r"\.hdr$", "").alias("name"), F.col("value").alias("head"))
     data = spark.read.format("binaryFile").load(f"{path}/*.bil").select(F.regexp_replace("path", r"\.bil$", "").alias("stem"), "content")
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
     both = data.join(heads, plain(F.col("stem")) == plain(F.col("name")))
