@@ -180,7 +180,9 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, class_id (smallest id of its group) and links (of its text to other texts that were verified).
+    """One row per document: id, class_id (smallest id of its group) and links (verified ones of its text).
+
+    Texts that are in one group by other links are not compared further, so ``links`` need not hold all.
 
     Texts are words between white space, A-Z lowered.  Equal word sequences are copies; null counts as
     empty, and texts without words are copies of each other.  A text of fewer than five words is one
@@ -271,7 +273,9 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
     stars = many.filter("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
     tried = written(few(members).unionByName(stars).distinct(), "neardup-pairs")
     links = compared(tried)
-    far = many.filter("id <> centre").withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(links, ["a", "b"], "left_anti")
+    roots = components(links)
+    # who is in its centre's group by now, over whatever links, needs no further comparison with it
+    far = apart(many.filter("id <> centre"), "id", "centre", roots)
     finer = far.select("id", "bucket", "band", F.posexplode("all").alias("other", "value")).filter("other <> band")
     rest = finer.select("id", F.xxhash64("bucket", "other", "value").alias("bucket"))
     while True:
@@ -279,19 +283,28 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         members = written(rest.join(crowd, "bucket"), "neardup-members")
         if members.isEmpty():
             return links
-        # the smallest ids of a large bucket: a sum that combines before the shuffle, no window over a bucket
-        heads = written(members.filter(F.col("n") > FEW).groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("id", "bucket"), F.greatest(F.floor(F.col("n") / FEW), F.lit(1).cast("long"))) == 0, F.col("id")))), 1, 4 * FEW).alias("heads")), "neardup-heads")
-        pairs = members.filter(F.col("n") > FEW).join(heads, "bucket").select("id", F.explode("heads").alias("head")).filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-        pairs = written(few(members).unionByName(pairs).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-        new = compared(pairs)
-        links, tried = links.unionByName(new), tried.unionByName(pairs)
-        # who is no centre and linked to none tries again among its like
-        large = members.filter(F.col("n") > FEW).drop("n").join(heads, "bucket").filter(~F.array_contains("heads", F.col("id")))
-        met = large.select("id", "bucket", F.explode("heads").alias("head")).select("id", "bucket", F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-        met = met.join(links, ["a", "b"]).select("id", "bucket").distinct()
+        # some members of a large bucket, by a hash: a sum that combines before the shuffle, no window over a bucket
+        chosen = F.pmod(F.xxhash64("id", "bucket"), F.greatest(F.floor(F.col("n") / FEW), F.lit(1).cast("long"))) == 0
+        large = members.filter(F.col("n") > FEW)
+        heads = written(large.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.when(chosen, F.col("id")))), 1, FEW).alias("some"), F.min("id").alias("least")).select("bucket", F.array_union("some", F.array("least")).alias("heads")), "neardup-heads")
+        pairs = large.join(heads, "bucket").select("id", F.explode("heads").alias("head")).filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+        pairs = apart(few(members).unionByName(pairs).distinct(), "a", "b", roots)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+        links, tried = links.unionByName(compared(pairs)), tried.unionByName(pairs)
+        roots = components(links)
+        # who is no centre and in no centre's group tries again among its like
+        large = large.drop("n").join(heads, "bucket").filter(~F.array_contains("heads", F.col("id")))
+        every = large.select("id", "bucket", F.explode("heads").alias("head"))
+        met = every.join(apart(every, "id", "head", roots).distinct(), ["id", "bucket", "head"], "left_anti").select("id", "bucket").distinct()
         rest = large.select("id", "bucket").join(met, ["id", "bucket"], "left_anti")
 
 
+def apart(rows: DataFrame, x: str, y: str, roots: DataFrame) -> DataFrame:
+    """Rows whose ids x and y are in different groups."""
+    own = rows.join(roots.withColumnsRenamed({"rep": x, "root": "__x"}), x, "left").join(roots.withColumnsRenamed({"rep": y, "root": "__y"}), y, "left")
+    return own.filter(F.coalesce("__x", x) != F.coalesce("__y", y)).select(*rows.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): rep, root (its smallest id), for all ids but the roots.
 
