@@ -4,8 +4,8 @@
 2. Each text gets K consistent weighted samples; three of them are a band.  Equal texts are one class
    from here on.
 3. Classes that share a band are compared pair by pair if they are few.  In larger buckets all are
-   compared with one centre; those too far from it meet again in finer buckets until none is left.
-   Each comparison verifies the weighted Jaccard similarity of the whole texts.
+   compared with one centre; those too far from it meet again in finer buckets, of one more band.
+   Pairs of which enough samples agree are verified: weighted Jaccard similarity of the whole texts.
 4. Links become groups by alternating large and small stars.
 
 A hot group costs one comparison per member; members, not pairs, are shuffled, and hot keys meet
@@ -14,6 +14,8 @@ only in joins that adaptive execution can split and in sums that combine before
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +27,12 @@ from orogen.llm.cluster import dropped, written
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of samples: a pair at 0.8 shares one with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
-#: Members of a bucket up to which all its pairs are compared, and centres of a larger one, about.
-FEW = 16
+#: Members of a bucket, and of a finer one, up to which all its pairs are compared.
+FEW, MORE = 16, 48
+#: Samples that must agree for texts to be compared: a pair at 0.8 has fewer with probability 1e-4.
+AGREE = 19
+#: Columns of the samples, four to a column.
+PACKED = [f"s{k}" for k in range(BANDS * ROWS // 4)]
 #: log2 of the counters of the document frequency sketch, and its chunks.
 SKETCH, CHUNKS = 20, 64
 #: A shingle in fewer than one of RARE documents counts as rare; IDF lies in [1, 1 + LIFT].
@@ -65,6 +71,12 @@ def distinct(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return hs[back], times[back], np.bincount(owner, minlength=len(per))
 
 
+def packed(found: np.ndarray) -> np.ndarray:
+    """16 bits of each sample, four to a signed 64-bit number."""
+    bits = B.mix(np.ascontiguousarray(found).view(np.uint64)) >> np.uint64(48)
+    return np.ascontiguousarray(bits.astype(np.uint16)).view(np.int64)
+
+
 def _gamma_quantiles(n: int) -> np.ndarray:
     """Quantiles of the Gamma(2, 1) distribution at 0, 1/n, ..., 1 (the ends pulled in)."""
     u = np.clip(np.arange(n + 1) / n, 0.02 / n, 1 - 0.02 / n)
@@ -193,6 +205,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", sim
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     weigh = spark.sparkContext.broadcast(idf(texts.select("text")))
     names = [f"b{k}" for k in range(BANDS)]
+    columns = [*names, *PACKED]
 
     def sign(batches):
         for batch in batches:
@@ -206,41 +219,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", sim
                     at = np.concatenate(([0], np.cumsum(per)))
                     out.append(B.mix(total[at[1:]] - total[at[:-1]] + per.astype(np.uint64)))
                 s, times, counts = distinct(*shingles(per, h))
-                found.append(bands(samples(s, times * weigh.value(s), counts, BANDS * ROWS)))
-            made = np.concatenate(found) if found else np.zeros((0, BANDS), np.int64)
+                drawn = samples(s, times * weigh.value(s), counts, BANDS * ROWS)
+                found.append(np.concatenate([bands(drawn), packed(drawn)], axis=1))
+            made = np.concatenate(found) if found else np.zeros((0, len(columns)), np.int64)
             keys = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(BANDS))], ["id", "k1", "k2", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(columns)))], ["id", "k1", "k2", *columns])
 
-    signed = written(texts.mapInArrow(sign, "id long, k1 long, k2 long, " + ", ".join(f"{n} long" for n in names)), "neardup-signed")
-    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), *(F.max(n).alias(n) for n in names)), "neardup-classes")
-    links = _links(classes, texts, names, weigh, similarity)
-    stars = components(links)
+    signed = written(texts.mapInArrow(sign, "id long, k1 long, k2 long, " + ", ".join(f"{n} long" for n in columns)), "neardup-signed")
+    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), *(F.max(n).alias(n) for n in columns)), "neardup-classes")
+    links, stars = _links(classes, texts, names, weigh, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     named = classes.select("k1", "k2", "rep").join(stars, "rep", "left").join(degree, "rep", "left")
     named = written(named.select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "neardup-named")
     return signed.select("id", "k1", "k2").join(named, ["k1", "k2"]).select(F.col("id").cast(docs.schema[id].dataType).alias(id), "class_id", "links")
 
 
-def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, similarity: float) -> DataFrame:
-    """Verified links (a, b) between the representatives of different texts, a > b.
+def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between the representatives of different texts, a > b, and their components.
 
-    Classes that share a band value are a bucket.  In a bucket of at most ``FEW`` all pairs are
-    compared.  Members of a larger one are compared with its smallest id; those too far from it are
-    dealt into finer buckets, by each other band they share, which again are compared pair by pair
-    where they are few and with ``FEW`` centres otherwise, until none is left over.
+    Classes that share a band value are a bucket.  In a bucket of few members all pairs are compared.
+    Members of a larger one are compared with its centre; those too far from it are dealt into finer
+    buckets, one for each other band value, and so on until no bucket is shared.  A finer bucket is a
+    set of band values, whichever came first.  Pairs whose samples agree too rarely leave before their
+    texts are read.
     """
-    spread = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.array(*names).alias("all"))
-    spread = spread.select("id", "all", F.posexplode("all").alias("band", "value"))
-    spread = spread.withColumn("bucket", F.xxhash64("band", "value")).drop("value")
-    crowd = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(spread.join(crowd, "bucket"), "neardup-crowded")
-    # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
-    standing = members.groupBy("id").agg(F.sum("n").alias("standing"))
-    best = members.filter(F.col("n") > FEW).join(standing, "id").groupBy("bucket").agg(F.max(F.struct("standing", (-F.col("id")).alias("id"))).alias("best"))
-    members = written(members.join(best.select("bucket", (-F.col("best.id")).alias("centre")), "bucket", "left"), "neardup-members")
+    profile = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.array(*names).alias("all"), *PACKED)
     # the texts of candidates, once: what the rounds read is the share of the corpus that has a near copy
-    own = members.select("id").distinct()
-    kept = written(texts.filter("id is not null").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
+    kept = tried = links = roots = None
+    since: list[DataFrame] = []
 
     def one(text: str) -> tuple:
         _, _, per, h = next(B.words(pa.array([text], pa.string())))
@@ -260,43 +266,58 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    def few(rows: DataFrame) -> DataFrame:
-        """All pairs of buckets of at most FEW members."""
-        x = rows.filter(F.col("n") <= FEW).select("bucket", F.col("id").alias("a"))
-        return x.join(x.withColumnRenamed("a", "b"), "bucket").filter("a > b").select("a", "b")
-
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
 
-    many = members.filter(F.col("n") > FEW)
-    stars = many.filter("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
-    tried = written(few(members).unionByName(stars).distinct(), "neardup-pairs")
-    links = compared(tried)
-    roots = components(links)
-    # who is in its centre's group by now, over whatever links, needs no further comparison with it
-    far = apart(many.filter("id <> centre"), "id", "centre", roots)
-    finer = far.select("id", "bucket", "band", F.posexplode("all").alias("other", "value")).filter("other <> band")
-    rest = finer.select("id", F.xxhash64("bucket", "other", "value").alias("bucket"))
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        """A row for each band value of id: the band as a bit and a hash of both."""
+        each = rows.join(profile.select("id", "all"), "id") if more else profile
+        return each.select("id", *more, F.posexplode("all").alias("band", "value")).select("id", *more, F.expr("shiftleft(1, band)").alias("bit"), F.xxhash64("band", "value").alias("key"))
+
+    rows, few = dealt(profile).select("id", F.col("key").alias("bucket"), F.col("bit").alias("used")), FEW
     while True:
-        crowd = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        members = written(rest.join(crowd, "bucket"), "neardup-members")
-        if members.isEmpty():
-            return links
-        # some members of a large bucket, by a hash: a sum that combines before the shuffle, no window over a bucket
-        chosen = F.pmod(F.xxhash64("id", "bucket"), F.greatest(F.floor(F.col("n") / FEW), F.lit(1).cast("long"))) == 0
-        large = members.filter(F.col("n") > FEW)
-        heads = written(large.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.when(chosen, F.col("id")))), 1, FEW).alias("some"), F.min("id").alias("least")).select("bucket", F.array_union("some", F.array("least")).alias("heads")), "neardup-heads")
-        pairs = large.join(heads, "bucket").select("id", F.explode("heads").alias("head")).filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-        pairs = apart(few(members).unionByName(pairs).distinct(), "a", "b", roots)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-        links, tried = links.unionByName(compared(pairs)), tried.unionByName(pairs)
-        roots = components(links)
-        # who is no centre and in no centre's group tries again among its like
-        large = large.drop("n").join(heads, "bucket").filter(~F.array_contains("heads", F.col("id")))
-        every = large.select("id", "bucket", F.explode("heads").alias("head"))
-        met = every.join(apart(every, "id", "head", roots).distinct(), ["id", "bucket", "head"], "left_anti").select("id", "bucket").distinct()
-        rest = large.select("id", "bucket").join(met, ["id", "bucket"], "left_anti")
+        crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        members = written(rows.join(crowd, "bucket"), "neardup-crowded")
+        if links is not None and members.isEmpty():
+            # groups of the first links are stars by now; only what was found since joins them
+            return links, roots if not since else components(reduce(DataFrame.unionByName, since, roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+        # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
+        known = members.groupBy("id").agg(F.sum("n").alias("standing")).join(profile.select("id", *PACKED), "id")
+        known = known.join(roots.withColumnRenamed("rep", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else known.withColumn("root", F.col("id"))
+        members = written(members.join(known, "id"), "neardup-members")
+        one_of = [F.col(x).alias(f"b_{x}") for x in ("id", "root", *PACKED)]
+        large = members.filter(F.col("n") > few)
+        best = large.groupBy("bucket").agg(F.max(F.struct("standing", (-F.col("id")).alias("low"), "id", "root", *PACKED)).alias("best")).select("bucket", "best.*").select("bucket", *one_of)
+        best = written(best, "neardup-centres")
+        small = members.filter(F.col("n") <= few)
+        pairs = small.join(small.select("bucket", *one_of), "bucket").filter("id > b_id").unionByName(large.join(best, "bucket").filter("id <> b_id"))
+        pairs = pairs.filter("root <> b_root").filter(agreeing() >= AGREE).select(F.greatest("id", "b_id").alias("a"), F.least("id", "b_id").alias("b")).distinct()
+        if links is None:
+            kept = written(texts.filter("id is not null").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
+            tried = written(pairs, "neardup-pairs")
+            links = compared(tried)
+            roots = components(links)
+        else:
+            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+            found = compared(pairs)
+            links, tried = links.unionByName(found), tried.unionByName(pairs)
+            since.append(found)
+        # who is in its centre's group by the first links, or linked to it, needs no further comparison with it
+        far = apart(large.select("id", "bucket", "used").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket"), "id", "centre", roots)
+        if since:
+            far = far.withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(since[-1], ["a", "b"], "left_anti")
+        rows = dealt(far, "bucket", "used").filter("(used & bit) = 0").select("id", F.expr("bucket ^ key").alias("bucket"), F.expr("used | bit").alias("used")).distinct()
+        few = MORE
+
+
+def agreeing():
+    """How many samples of a row and of its b_ columns are equal: 16 bits each, four to a number."""
+    equal = []
+    for name in PACKED:
+        differ = F.col(name).bitwiseXOR(F.col(f"b_{name}"))
+        equal += [F.when(F.shiftrightunsigned(differ, 16 * k).bitwiseAND(0xFFFF) == 0, 1).otherwise(0) for k in range(4)]
+    return sum(equal[1:], equal[0])
 
 
 def apart(rows: DataFrame, x: str, y: str, roots: DataFrame) -> DataFrame:
