@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from orogen.llm import bytework as B
 from orogen.llm.cluster import dropped, written
+from orogen.llm.cluster import small as small_or_shuffled
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of samples: a pair at 0.8 shares one with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
-#: Members of a bucket, and of a finer one, up to which all its pairs are compared.
-FEW, MORE = 16, 48
+#: Members of a bucket, and of a finer one, up to which all its pairs are compared; in finer ones, where hardly
+#: a pair is near, the join itself leaves out those of which too few samples agree.
+FEW, MORE = 16, 256
 #: Samples that must agree for texts to be compared: a pair at 0.8 has fewer with probability 1e-4.
 AGREE = 19
 #: Columns of the samples, four to a column.
@@ -294,7 +296,8 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         pairs = small.join(small.select("bucket", *one_of), "bucket").filter("id > b_id").unionByName(large.join(best, "bucket").filter("id <> b_id"))
         pairs = pairs.filter("root <> b_root").filter(agreeing() >= AGREE).select(F.greatest("id", "b_id").alias("a"), F.least("id", "b_id").alias("b")).distinct()
         if links is None:
-            kept = written(texts.filter("id is not null").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
+            own = small_or_shuffled(written(members.select("id").distinct(), "neardup-candidates"))
+            kept = written(texts.filter("id is not null").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
             tried = written(pairs, "neardup-pairs")
             links = compared(tried)
             roots = components(links)
