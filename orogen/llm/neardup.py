@@ -272,18 +272,16 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
 
-    def dealt(rows: DataFrame, *more: str) -> DataFrame:
-        """A row for each band value of id: the band as a bit and a hash of both."""
-        each = rows.join(profile.select("id", "all"), "id") if more else profile
-        return each.select("id", *more, F.posexplode("all").alias("band", "value")).select("id", *more, F.expr("shiftleft(1, band)").alias("bit"), F.xxhash64("band", "value").alias("key"))
-
-    rows, few = dealt(profile).select("id", F.col("key").alias("bucket"), F.col("bit").alias("used")), FEW
+    rows = profile.select("id", F.posexplode("all").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.expr("shiftleft(1, band)").alias("used"))
+    few, shared = FEW, None
     while True:
         crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         members = written(rows.join(crowd, "bucket"), "neardup-crowded")
         if links is not None and members.isEmpty():
             # groups of the first links are stars by now; only what was found since joins them
             return links, roots if not since else components(reduce(DataFrame.unionByName, since, roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+        if shared is None:  # the band values that an id shares with others; only these can make a finer bucket
+            shared = members.select("id", F.col("bucket").alias("key"), F.col("used").alias("bit"))
         # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
         known = members.groupBy("id").agg(F.sum("n").alias("standing")).join(profile.select("id", *PACKED), "id")
         known = known.join(roots.withColumnRenamed("rep", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else known.withColumn("root", F.col("id"))
@@ -310,7 +308,7 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         far = apart(large.select("id", "bucket", "used").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket"), "id", "centre", roots)
         if since:
             far = far.withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(since[-1], ["a", "b"], "left_anti")
-        rows = dealt(far, "bucket", "used").filter("(used & bit) = 0").select("id", F.expr("bucket ^ key").alias("bucket"), F.expr("used | bit").alias("used")).distinct()
+        rows = far.select("id", "bucket", "used").join(shared, "id").filter("(used & bit) = 0").select("id", F.expr("bucket ^ key").alias("bucket"), F.expr("used | bit").alias("used")).distinct()
         few = MORE
 
 
