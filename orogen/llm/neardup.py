@@ -4,7 +4,8 @@
 2. Each text gets K consistent weighted samples; three of them are a band.  Equal texts are one class
    from here on.
 3. Classes that share a band are compared pair by pair if they are few.  In larger buckets all are
-   compared with one centre; those too far from it meet again in finer buckets, of one more band.
+   compared with one centre.  Those too far from it get samples of how they differ from it, and meet
+   again where these agree.
    Pairs of which enough samples agree are verified: weighted Jaccard similarity of the whole texts.
 4. Links become groups by alternating large and small stars.
 
@@ -28,9 +29,11 @@ from orogen.llm.cluster import small as small_or_shuffled
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of samples: a pair at 0.8 shares one with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
-#: Members of a bucket, and of a finer one, up to which all its pairs are compared; in finer ones, where hardly
-#: a pair is near, the join itself leaves out those of which too few samples agree.
+#: Members of a bucket, and of a finer one, up to which all its pairs are compared.
 FEW, MORE = 16, 256
+#: Bands of samples of a difference.  Texts of one length, both below 0.8 to a centre and at 0.8 or more to each
+#: other, differ from it in ways alike by 1/3 at least: they share a band with probability 1 - (1 - 1/9)^30 = 0.97, and at 0.4 with 0.995.
+FINER, OF = 30, 2
 #: Samples that must agree for texts to be compared: a pair at 0.8 has fewer with probability 1e-4.
 AGREE = 19
 #: Columns of the samples, four to a column.
@@ -185,6 +188,14 @@ def weighted(words: tuple, weigh: Idf) -> tuple[np.ndarray, np.ndarray]:
     return h, times * weigh(h)
 
 
+def difference(a: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How a differs from c, as a weighted set: what it has more of and, under other names, less of."""
+    keys, at = np.unique(np.concatenate([a[0], c[0]]), return_inverse=True)
+    more = np.bincount(at, np.concatenate([a[1], -c[1]]), len(keys))
+    keys, more = keys[more != 0], more[more != 0]
+    return np.where(more > 0, keys, B.mix(keys)), np.abs(more)
+
+
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two sets of shingles with weights (1 for two empty ones)."""
     _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -241,9 +252,10 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
 
     Classes that share a band value are a bucket.  In a bucket of few members all pairs are compared.
     Members of a larger one are compared with its centre; those too far from it are dealt into finer
-    buckets, one for each other band value, and so on until no bucket is shared.  A finer bucket is a
-    set of band values, whichever came first.  Pairs whose samples agree too rarely leave before their
-    texts are read.
+    buckets by bands of samples of their difference from the centre, and so on until no bucket is
+    shared.  Copies of one origin with edits of their own differ from it in ways that hardly agree, so
+    they part at once; the bucket left behind loses its centre each time.  Pairs whose samples agree
+    too rarely leave before their texts are read.
     """
     profile = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.array(*names).alias("all"), *PACKED)
     # the texts of candidates, once: what the rounds read is the share of the corpus that has a near copy
@@ -268,20 +280,38 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
+    def differ(batches):
+        memo: dict[int, tuple] = {}
+        for batch in batches:
+            line, id, centre, x, y = (batch.column(k) for k in range(5))
+            for i, j, *words in B.words(x):
+                h, times, counts = distinct(*shingles(*words))
+                edges, weight, found = np.append(0, np.cumsum(counts)), times * weigh.value(h), []
+                for k in range(i, j):
+                    c, part = centre[k].as_py(), slice(edges[k - i], edges[k - i + 1])
+                    if c not in memo:
+                        if len(memo) > 200:
+                            memo.clear()
+                        memo[c] = one(y[k].as_py())
+                    found.append(difference((h[part], weight[part]), memo[c]))
+                counts = np.array([len(x) for x, _ in found], np.int64)
+                drawn = samples(*(np.concatenate([x[k] for x in found]) for k in (0, 1)), counts, FINER * OF)
+                keys = bands(drawn, FINER, OF).view(np.uint64) + np.arange(FINER, dtype=np.uint64)
+                keys = B.mix(keys ^ line.slice(i, j - i).to_numpy().view(np.uint64)[:, None]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([id.slice(i, j - i), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "finer"])
+
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
 
-    rows = profile.select("id", F.posexplode("all").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.expr("shiftleft(1, band)").alias("used"))
-    few, shared = FEW, None
+    rows = profile.select("id", F.posexplode("all").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    few = FEW
     while True:
         crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         members = written(rows.join(crowd, "bucket"), "neardup-crowded")
         if links is not None and members.isEmpty():
             # groups of the first links are stars by now; only what was found since joins them
             return links, roots if not since else components(reduce(DataFrame.unionByName, since, roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-        if shared is None:  # the band values that an id shares with others; only these can make a finer bucket
-            shared = members.select("id", F.col("bucket").alias("key"), F.col("used").alias("bit"))
         # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
         known = members.groupBy("id").agg(F.sum("n").alias("standing")).join(profile.select("id", *PACKED), "id")
         known = known.join(roots.withColumnRenamed("rep", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else known.withColumn("root", F.col("id"))
@@ -305,10 +335,14 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
             links, tried = links.unionByName(found), tried.unionByName(pairs)
             since.append(found)
         # who is in its centre's group by the first links, or linked to it, needs no further comparison with it
-        far = apart(large.select("id", "bucket", "used").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket"), "id", "centre", roots)
+        far = apart(large.select("id", "bucket").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket"), "id", "centre", roots)
         if since:
             far = far.withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(since[-1], ["a", "b"], "left_anti")
-        rows = far.select("id", "bucket", "used").join(shared, "id").filter("(used & bit) = 0").select("id", F.expr("bucket ^ key").alias("bucket"), F.expr("used | bit").alias("used")).distinct()
+        # at first buckets of one centre go together; later a bucket keeps apart, so it lacks its centre and gets smaller
+        far = far.select((F.xxhash64("centre") if few == FEW else F.xxhash64("bucket", "centre")).alias("line"), "id", "centre").distinct()
+        both = far.join(kept.withColumnRenamed("text", "x"), "id").join(kept.withColumnsRenamed({"id": "centre", "text": "y"}), "centre")
+        finer = written(both.select("line", "id", "centre", "x", "y").mapInArrow(differ, "id long, finer array<long>"), "neardup-finer")
+        rows = finer.select("id", F.explode("finer").alias("bucket")).distinct()
         few = MORE
 
 
