@@ -32,8 +32,8 @@ BANDS, ROWS = 12, 3
 #: Members of a bucket, and of a finer one, up to which all its pairs are compared.
 FEW, MORE = 16, 256
 #: Bands of samples of a difference.  Texts of one length, both below 0.8 to a centre and at 0.8 or more to each
-#: other, differ from it in ways alike by 1/3 at least: they share a band with probability 1 - (1 - 1/9)^30 = 0.97, and at 0.4 with 0.995.
-FINER, OF = 30, 2
+#: other, differ from it in ways alike by 1/3 at least: they share a band with probability 1 - (1 - 1/9)^40 = 0.99.
+FINER, OF = 40, 2
 #: Samples that must agree for texts to be compared: a pair at 0.8 has fewer with probability 1e-4.
 AGREE = 19
 #: Columns of the samples, four to a column.
