@@ -1,41 +1,43 @@
-"""n-gram language model scores from an Elias-Fano trie.
-
-Counting.  Words are counted over all training texts (each task combines first, one shuffle).  Words
-and n-grams that make up at least EPSILON of all tokens enter the trie, so that it never has more
-than 1 / EPSILON entries a level, whatever the input; on small inputs everything enters.  An n-gram
-can only be that frequent if its parts are, so bigrams are counted over kept words and trigrams over
-kept bigrams, as sorted blobs of codes that are merged by shards whose number follows the corpus.
-
-Probabilities.  Unigrams are add-one estimates from exact counts, of all words, kept or not (the rest
-is joined by word).  Higher orders interpolate: P(w | c) = max(count - D, 0) / count(c) + share(c) *
-P(w | shorter c), where share(c) is the mass that the kept entries leave; it sums to one.
-
-Trie.  Each level is a memory-mapped file: word ids below a context, ascending, stored as one
-monotone Elias-Fano sequence (context number * words + id: low bits packed, high bits unary), the
-pointers to a context's children likewise, probabilities and shares quantised to one byte by a code
-book.  A lookup jumps to the context's range and searches the successor of the word there.
+"""n-gram language model scores from Elias-Fano tries.
+
+Counting.  All words, bigrams and trigrams of the training texts count, however rare.  Texts are cut
+into blocks of about BLOCK tokens.  A block sends its distinct n-grams, as hashes of 56 bits with
+their counts, to shards by ranges of the hash, whose number follows the corpus.  A shard adds up what
+the blocks sent and tells each block the totals of its own n-grams.  It also names one block that holds
+an n-gram, so that blocks can count the different continuations of a context without counting one
+twice; a second exchange of this kind adds these up where a context is in several blocks.  A hot n-gram is one entry a block.
+
+Probabilities.  Unigrams are add-one estimates from exact counts.  Higher orders interpolate:
+P(w | c) = max(count - D, 0) / count(c) + share(c) * P(w | shorter c), where share(c) = D * different
+continuations of c / count(c), the mass that the discounts leave; it sums to one.
+
+Trie.  Each block gets the part of the model that its texts can ask for, as a trie: word ids below a
+context, ascending, stored as one monotone Elias-Fano sequence (context number * words + id: low bits
+packed, high bits unary).  A block's trie has at most as many entries a level as the block has tokens.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm import bytework as B
-from orogen.llm.cluster import shared_file, written
+from orogen.llm.cluster import written
 
-#: Smallest share of all tokens of a kept word or n-gram; 1 / EPSILON < 2^WIDTH.
-EPSILON, WIDTH = 5e-7, 21
+#: Smallest share of all tokens of a word in the trie: all enter.  Bits of a word in the codes of build().
+EPSILON, WIDTH = 0.0, 21
 DISCOUNT = 0.75
-#: Codes that a counting shard takes, about, and entries a task combines before it passes them on.
-SHARD, COMBINE = 1_000_000, 4_000_000
+#: Tokens of a block, and tokens for each shard, about.
+BLOCK, SHARD = 500_000, 1_500_000
 #: The hash that stands for the end of a text.
 END = int(B.hashes(np.frombuffer(b"\0end", np.uint8), np.array([0]), np.array([4]))[0])
+#: The hash that stands for the beginning of a text.
+BEGIN = int(B.hashes(np.frombuffer(b"\0begin", np.uint8), np.array([0]), np.array([6]))[0])
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
+_ODD = np.random.default_rng(8).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class EliasFano:
@@ -82,23 +84,10 @@ class EliasFano:
         return out
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of one byte and their code book (means of equal shares of the values; zero stays zero)."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(256, np.float32)
-    order = np.argsort(x, kind="stable")
-    cells = np.array_split(x[order], 256) if len(x) > 256 else [x[i : i + 1] for i in order]
-    book = np.zeros(256, np.float32)
-    book[: len(cells)] = [c.mean() for c in cells]
-    codes = np.empty(len(x), np.uint8)
-    codes[order] = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-    return codes, book
-
-
 class Trie:
-    """Levels of kept n-grams up to three words, opened from memory-mapped bytes."""
+    """Levels of n-grams up to three words, opened from bytes."""
 
-    NAMES = ("keys", "uni", "begin2", "low2", "high2", "p2", "bow1", "low3", "high3", "p3", "bow2", "books")
+    NAMES = ("keys", "uni", "low2", "high2", "p2", "bow1", "low3", "high3", "p3", "bow2")
 
     def __init__(self, raw: np.ndarray):
         sizes = np.frombuffer(raw[: 8 * 20], np.int64)
@@ -108,22 +97,13 @@ class Trie:
             part[name] = raw[at : at + size]
             at += -(-int(size) // 8) * 8
         low = lambda x, shift: x.view(np.uint8 if shift <= 8 else np.uint16 if shift <= 16 else np.uint32)
-        self.keys, order = part["keys"].view(np.uint64), None  # word hashes, ascending; the id is the place
+        self.keys = part["keys"].view(np.uint64)  # word hashes, ascending; the id is the place
         self.uni = part["uni"].view(np.int64)
         self.e2 = EliasFano(low(part["low2"], self.shift2), part["high2"], self.n2, self.shift2)
         self.e3 = EliasFano(low(part["low3"], self.shift3), part["high3"], self.n3, self.shift3)
-        books = part["books"].view(np.float32).reshape(4, 256)
-        self.p2, self.p3, self.bow1, self.bow2 = part["p2"], part["p3"], part["bow1"], part["bow2"]
-        self.book2, self.book3, self.book_b1, self.book_b2 = books
+        self.p2, self.p3, self.bow1, self.bow2 = (part[x].view(np.float32) for x in ("p2", "p3", "bow1", "bow2"))
         self.log_uni = np.log10((self.uni + 1) / (self.N + self.V + 1))
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Ids of words, -1 for those that are not kept."""
-        if not len(self.keys):
-            return np.full(len(h), -1, np.int64)
-        p = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[p] == h, p, -1)
-
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 P of each token; for words that are not kept only the share that is left to the unigram.
 
@@ -139,21 +119,21 @@ class Trie:
         two[first] = -1
         out = np.where(ids >= 0, self.log_uni[np.maximum(ids, 0)] if self.words else 0.0, 0.0)
         had = one >= 0
-        out[had] += self.book_b1[self.bow1[one[had]]]
+        out[had] += self.bow1[one[had]]
         pair = np.full(len(ids), -1, np.int64)  # places of (one, word)
         ask = np.flatnonzero(had & (ids >= 0))
         pair[ask] = self.e2.find(one[ask] * self.words + ids[ask])
         hit = np.flatnonzero(pair >= 0)
-        out[hit] = self.book2[self.p2[pair[hit]]]
+        out[hit] = self.p2[pair[hit]]
         context = np.full(len(ids), -1, np.int64)  # places of (two, one)
         context[1:] = pair[:-1]
         context[first] = -1
         had = np.flatnonzero(context >= 0)
-        shorter = out[had] + self.book_b2[self.bow2[context[had]]]
+        shorter = out[had] + self.bow2[context[had]]
         out[had] = shorter
         ask = had[ids[had] >= 0]
         found = self.e3.find(context[ask] * self.words + ids[ask])
-        out[ask[found >= 0]] = self.book3[self.p3[found[found >= 0]]]
+        out[ask[found >= 0]] = self.p3[found[found >= 0]]
         return out
 
 
@@ -163,74 +143,42 @@ def build(keys: np.ndarray, counts: np.ndarray, N: int, V: int, docs: int, two:
     mask = (1 << WIDTH) - 1
     c2, n2 = two
     context, word = (c2 >> WIDTH).astype(np.int64), (c2 & mask).astype(np.int64)
-    uni = (counts + 1) / (N + V + 1)
     total = np.append(counts, docs).astype(float)  # how often each context has a next token
     left = np.maximum(n2 - DISCOUNT, 0) / total[context] if len(c2) else np.zeros(0)
     share1 = 1 - np.bincount(context, left, words + 1)
-    share1 = np.clip(share1, 1e-6, 1)
-    p2 = left + share1[context] * uni[word] if len(c2) else np.zeros(0)
     c3, n3 = three
-    pair_code = c3 >> WIDTH
-    place = np.searchsorted(c2, pair_code)
-    third = (c3 & mask).astype(np.int64)
-    second = ((c3 >> WIDTH) & mask).astype(np.int64)
+    place = np.searchsorted(c2, c3 >> WIDTH)
     left3 = np.maximum(n3 - DISCOUNT, 0) / n2[place] if len(c3) else np.zeros(0)
-    share2 = np.clip(1 - np.bincount(place, left3, len(c2)), 1e-6, 1)
-    inner = np.searchsorted(c2, (second.astype(np.uint64) << np.uint64(WIDTH)) | third.astype(np.uint64)) if len(c3) else np.zeros(0, np.int64)
-    p3 = left3 + share2[place] * p2[inner] if len(c3) else np.zeros(0)
-    low2, high2, shift2 = EliasFano.parts(context * words + word, (words + 1) * words)
-    low3, high3, shift3 = EliasFano.parts(place.astype(np.int64) * words + third, max(1, len(c2)) * words)
-    begin2 = np.searchsorted(context, np.arange(words + 2)).astype(np.int64)
-    pointers = EliasFano.parts(begin2, len(c2) + 1)[1]  # children of context k: the k-th zero run of a unary string
-    q = [quantised(np.log10(x) if len(x) else x) for x in (p2, p3, share1, share2)]
-    parts = {"keys": keys, "uni": counts.astype(np.int64), "begin2": pointers, "low2": low2, "high2": high2, "p2": q[0][0], "bow1": q[2][0], "low3": low3, "high3": high3, "p3": q[1][0], "bow2": q[3][0], "books": np.stack([b for _, b in q])}
+    share2 = 1 - np.bincount(place, left3, len(c2))
+    return stored(keys, counts, N, V, (context, word, left, share1), (place, (c3 & mask).astype(np.int64), left3, share2))
+
+
+def stored(keys: np.ndarray, counts: np.ndarray, N: int, V: int, two: tuple, three: tuple) -> bytes:
+    """The trie's bytes.
+
+    ``two`` has context and word of each bigram, ascending, its discounted share of the context, and what
+    each context (the beginning last) leaves; ``three`` the same with places of bigrams as contexts.
+    """
+    words = len(keys)
+    uni = (counts + 1) / (N + V + 1)
+    context, word, left, share1 = two
+    share1 = np.clip(share1, 1e-6, 1)
+    p2 = left + share1[context] * uni[word] if len(word) else np.zeros(0)
+    place, third, left3, share2 = three
+    share2 = np.clip(share2, 1e-6, 1)
+    codes = context * words + word
+    p3 = left3 + share2[place] * p2[np.searchsorted(codes, word[place] * words + third)] if len(third) else np.zeros(0)
+    low2, high2, shift2 = EliasFano.parts(codes, (words + 1) * words)
+    low3, high3, shift3 = EliasFano.parts(place.astype(np.int64) * words + third, max(1, len(word)) * words)
+    log = [np.log10(x).astype(np.float32) for x in (p2, p3, share1, share2)]
+    parts = {"keys": keys, "uni": counts.astype(np.int64), "low2": low2, "high2": high2, "p2": log[0], "bow1": log[2], "low3": low3, "high3": high3, "p3": log[1], "bow2": log[3]}
     parts = {k: np.ascontiguousarray(parts[k]).tobytes() for k in Trie.NAMES}
     head = np.zeros(20, np.int64)
-    head[:7] = N, V, words, len(c2), len(c3), shift2, shift3
+    head[:7] = N, V, words, len(word), len(third), shift2, shift3
     head[7 : 7 + len(parts)] = [len(x) for x in parts.values()]
     return head.tobytes() + b"".join(x + b"\0" * (-len(x) % 8) for x in parts.values())
 
 
-def _pairs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and their summed counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
-class _Combiner:
-    """Counts of codes within a task; hands on what it has beyond COMBINE entries."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, codes: np.ndarray) -> None:
-        if len(codes):
-            self.parts.append(_pairs(codes, np.ones(len(codes), np.int64)))
-            self.size += len(self.parts[-1][0])
-            if len(self.parts) >= 16 or self.size > COMBINE:
-                self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.parts = [_pairs(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
-        self.size = len(self.parts[0][0])
-        return self.parts[0]
-
-    def full(self) -> bool:
-        return self.size > COMBINE
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = self.merge()
-        self.parts, self.size = [], 0
-        return out
-
-
 def _tokens(texts: pa.Array):
     """Yields (i, j, tokens per document, hashes): words and one end for each document."""
     for i, j, counts, h in B.words(texts):
@@ -242,120 +190,96 @@ def _tokens(texts: pa.Array):
         yield i, j, n, out
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """Counts of all tokens (h: hash of the word as signed number, c) over a column of texts."""
+class Grams:
+    """Distinct words, bigrams and trigrams of a block, and where its tokens find them."""
 
-    def count(batches):
-        found = _Combiner()
-        for batch in batches:
-            for _, _, _, h in _tokens(batch.column(0)):
-                found.add(h)
-                if found.full():
-                    yield rows(found)
-        yield rows(found)
+    def __init__(self, words: np.ndarray, ids: np.ndarray, n: np.ndarray):
+        self.words, self.ids, self.n, self.first, W = words, ids, n, np.cumsum(n) - n, len(words)
+        one = np.empty(len(ids), np.int64)
+        one[1:] = ids[:-1]
+        one[self.first] = W  # the beginning
+        codes, self.pair = np.unique(one * W + ids, return_inverse=True)
+        self.context, self.word = codes // W, codes % W
+        inner = np.ones(len(ids), bool)
+        inner[self.first] = False
+        self.inner = np.flatnonzero(inner)
+        codes, self.triple = np.unique(self.pair[self.inner - 1] * W + ids[self.inner], return_inverse=True)
+        self.place, self.third = codes // W, codes % W
+        self.edges = np.cumsum([W, len(self.word)])
 
-    def rows(found: _Combiner) -> pa.RecordBatch:
-        keys, counts = found.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words and the beginning, of bigrams, of trigrams."""
+        h = np.append(self.words, np.uint64(BEGIN))
+        a, b, c = h[self.context[self.place]], h[self.word[self.place]], h[self.third]
+        two = B.mix(h[self.context] * _ODD[0] + B.mix(h[self.word] * _ODD[1]))
+        out = B.mix(h * _ODD[5]), two, B.mix(a * _ODD[2] + B.mix(b * _ODD[3] + B.mix(c * _ODD[4])))
+        return tuple(x >> np.uint64(8) for x in out)
 
-    return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def counts(self, taken: np.ndarray) -> np.ndarray:
+        """How often the words, bigrams and trigrams come in the texts that are ``taken``."""
+        t = np.repeat(taken, self.n).astype(float)
+        parts = (self.ids, t, len(self.words)), (self.pair, t, len(self.word)), (self.triple, t[self.inner], len(self.third))
+        return np.concatenate([np.bincount(*x) for x in parts]).astype(np.int64)
 
 
-def ngram_counts(texts: DataFrame, order: int, held, shards: int, least: float) -> DataFrame:
-    """N-grams of kept words (2: contexts may be the beginning; 3: of kept bigrams) that come at least ``least`` times."""
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, all their first bytes first, so that bytes that hardly differ stand together, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-    def count(batches):
-        keys, pairs = held.value
-        found = _Combiner()
-        for batch in batches:
-            for _, _, n, h in _tokens(batch.column(0)):
-                p = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                ids = np.where(keys[p] == h, p, -1)
-                first = np.cumsum(n) - n
-                one = np.empty(len(ids), np.int64)
-                one[1:] = ids[:-1]
-                one[first] = len(keys)
-                good = (one >= 0) & (ids >= 0)
-                code = (one << WIDTH | ids).astype(np.uint64)
-                if order == 2:
-                    found.add(code[good])
-                else:
-                    q = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-                    good &= pairs[q] == code
-                    good[1:] &= good[:-1]
-                    good[first] = False
-                    at = np.flatnonzero(good)
-                    found.add(code[at - 1] << np.uint64(WIDTH) | ids[at].astype(np.uint64))
-                if found.full():
-                    yield rows(found)
-        yield rows(found)
-
-    def rows(found: _Combiner) -> pa.RecordBatch:
-        codes, counts = found.take()
-        to = (B.mix(codes) % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[by], np.arange(shards + 1))
-        codes, counts = codes[by].astype("<u8"), np.minimum(counts[by], 2**32 - 1).astype("<u4")
-        some = np.flatnonzero(np.diff(edges))
-        cut = lambda x: pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cut(_deltas(codes, edges)), cut(counts)], ["shard", "codes", "counts"])
-
-    def _deltas(codes, edges):
-        """Within a shard codes ascend: differences compress better."""
-        out = codes.copy()
-        out[1:] -= codes[:-1]
-        at = edges[:-1][np.diff(edges) > 0]
-        out[at] = codes[at]
-        return out
 
-    def add(group: pa.Table) -> pa.Table:
-        codes = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), "<u8"), dtype=np.uint64) for x in group["codes"]])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in group["counts"]])
-        codes, counts = _pairs(codes, counts)
-        keep = counts >= least
-        return pa.table([pa.array(codes[keep].astype(np.int64)), pa.array(counts[keep])], ["code", "c"])
+def _numbers(x: pa.BinaryScalar) -> np.ndarray:
+    raw = x.as_buffer()
+    n = int.from_bytes(raw[:8].to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd"), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-    return texts.mapInArrow(count, "shard int, codes binary, counts binary").groupBy("shard").applyInArrow(add, "code long, c long")
 
+SENT = "shard int, block long, codes binary, counts binary"
 
-def _gather(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """A table with at most 1 / EPSILON rows as arrays, by ascending unsigned key."""
-    table = df.toArrow()
-    keys = table[key].to_numpy().astype(np.int64).view(np.uint64)
+
+def _sent(block: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
+    """What a block sends to the shards: ascending keys, as differences, and counts."""
     order = np.argsort(keys)
-    return keys[order], table["c"].to_numpy()[order].astype(np.int64)
+    keys, counts = keys[order], counts[order]
+    to = _shard(keys, shards)
+    edges = np.searchsorted(to, np.arange(shards + 1))
+    some = np.flatnonzero(np.diff(edges))
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    steps[edges[some]] = keys[edges[some]]
+    cut = lambda x: pa.array([_packed(x[edges[s] : edges[s + 1]]) for s in some], pa.binary())
+    return pa.table([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), cut(steps), cut(counts)], ["shard", "block", "codes", "counts"])
 
 
-def fit(texts: DataFrame) -> tuple[str, DataFrame, int, int]:
-    """Counts texts (column text) and shares a trie: its file, all word counts (h, c), N and V."""
-    spark = texts.sparkSession
-    uni = written(word_counts(texts), "lm-words")
-    row = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    N, V = int(row["N"]), int(row["V"])
-    least = max(1.0, EPSILON * N)
-    keys, counts = _gather(uni.filter(F.col("c") >= least), "h")
-    docs = int(counts[keys == np.uint64(END)].sum())
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    two = three = none
-    if len(keys):
-        shards = max(1, -(-N // SHARD))
-        held = spark.sparkContext.broadcast((keys, none[0]))
-        two = _gather(ngram_counts(texts, 2, held, shards, least), "code")
-        if len(two[0]):
-            held = spark.sparkContext.broadcast((keys, two[0]))
-            three = _gather(ngram_counts(texts, 3, held, shards, least), "code")
-    return shared_file(spark, "lm-trie", build(keys, counts, N, V, docs, two, three)), uni, N, V
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(24)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
 
+def _totals(sent: DataFrame) -> DataFrame:
+    """For each row of SENT the totals of its keys over all blocks, times 2; plus 1 in the one block that stands for the key."""
+
+    def add(group: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_numbers(x), dtype=np.uint64) for x in group["codes"]]
+        counts = np.concatenate([_numbers(x) for x in group["counts"]]).astype(np.int64)
+        edges = np.cumsum([0, *map(len, keys)])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, counts, len(found)).astype(np.int64)
+        some = np.flatnonzero(counts > 0)
+        stands = np.full(len(found), -1, np.int64)
+        stands[at[some]] = some
+        out = 2 * total[at] + (stands[at] == np.arange(len(at)))
+        return pa.table([group["shard"], group["block"], pa.array([_packed(out[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["shard", "block", "totals"])
 
-_open: dict[str, Trie] = {}
+    return sent.groupBy("shard").applyInArrow(add, "shard int, block long, totals binary")
 
 
-def opened(name: str) -> Trie:
-    """The worker's view of a shared trie, mapped from the executor's copy."""
-    if name not in _open:
-        _open.clear()
-        _open[name] = Trie(np.memmap(SparkFiles.get(name), np.uint8, "r"))
-    return _open[name]
+def _answer(keys: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of a block's keys from the rows of all shards, and whether the block stands for them."""
+    parts = [rows["totals"][int(k)] for k in np.argsort(rows["shard"].to_numpy())]
+    out = np.empty(len(keys), np.int64)
+    out[np.argsort(keys)] = np.concatenate([np.zeros(0, np.uint64), *(_numbers(x) for x in parts)]).astype(np.int64)
+    return out >> 1, (out & 1).astype(bool)
 
 
 def score(docs: DataFrame, training, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -365,39 +289,107 @@ def score(docs: DataFrame, training, text: str = "text", id: str = "doc_id") ->
     unigrams) and score.  Null texts count as empty (one token: the end); rows with a null id are held
     out; repeated rows stay.  Without training rows every token is unknown and both scores are 0.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     trained = F.coalesce(training(F.col("id")), F.lit(False))
-    name, uni, N, V = fit(rows.filter(trained).select("text"))
-    least = max(1.0, EPSILON * N)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).select("id", "text", (~trained).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
+    kept = f"block long, size long, ids array<{kind}>, held array<boolean>, n binary, words binary, tokens binary"
+
+    def cut(batches):
+        number, size, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def block() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate([x[3] for x in parts]), return_inverse=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays([p[k] for p in parts]) for k in (0, 1))]
+            blobs = [pa.array([_packed(x)], pa.binary()) for x in (np.concatenate([x[2] for x in parts]), words, ids)]
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(ids)]), *lists, *blobs], ["block", "size", "ids", "held", "n", "words", "tokens"])
 
-    def part(batches):
-        trie = opened(name)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            rest = []
             for i, j, n, h in _tokens(batch.column(1)):
-                ids = trie.ids(h)
-                kept = ids >= 0
-                own = trie.score(ids, np.cumsum(n) - n)
-                base = np.where(kept, trie.log_uni[np.maximum(ids, 0)], 0.0) if trie.words else np.zeros(len(ids))
-                for c, x in zip(out, (n, B.sums(kept.astype(np.int64), n), B.sums(base, n), B.sums(own, n)), strict=True):
-                    c.append(x)
-                left = B.sums((~kept).astype(np.int64), n)
-                rest.append((h[~kept].view(np.int64), left))
-            words = np.concatenate([x for x, _ in rest]) if rest else np.zeros(0, np.int64)
-            sizes = np.concatenate([n for _, n in rest]) if rest else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(words))
-            found = [np.concatenate(c) if c else np.zeros(0) for c in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64)), pa.array(found[2]), pa.array(found[3]), lists], ["id", "held_out", "n_tokens", "n_kept", "base", "own", "rest"])
-
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_kept long, base double, own double, rest array<long>"
-    scored = rows.withColumn("held_out", ~trained).select("id", "text", "held_out").mapInArrow(part, schema)
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = uni.filter(F.col("c") < least).withColumn("log", F.log10((F.col("c") + 1) / F.lit(float(N + V + 1))))
-    asked = scored.select("row", F.explode("rest").alias("h"))
-    known = asked.join(rare, "h").groupBy("row").agg(F.count("*").alias("n"), F.sum("log").alias("log"))
-    unknown = float(-np.log10(N + V + 1))
-    joined = scored.withColumn("n_rest", F.size("rest")).drop("rest").join(known, "row", "left").na.fill({"n": 0, "log": 0.0})
-    more = F.col("log") + (F.col("n_rest") - F.col("n")) * F.lit(unknown)
-    return joined.select(F.col("id").alias(id), "held_out", "n_tokens", (F.col("n_kept") + F.col("n")).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("own") + more).alias("score"))
+                parts.append((batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), n, h))
+                size += len(h)
+                if size >= BLOCK:
+                    yield block()
+                    number, size, parts = number + 1, 0, []
+        if parts:
+            yield block()
+
+    def read(row, k: int = 0) -> tuple[Grams, np.ndarray]:
+        n, words, tokens = (_numbers(row[x][k]) for x in ("n", "words", "tokens"))
+        return Grams(words, tokens.astype(np.int64), n.astype(np.int64)), ~np.array(row["held"][k].as_py(), bool)
+
+    blocks = written(rows.mapInArrow(cut, kept), "lm-blocks")
+    shards = max(1, -(-int(blocks.agg(F.sum("size")).first()[0] or 0) // SHARD))
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                grams, taken = read(batch, k)
+                one, two, three = grams.keys()
+                yield from _sent(batch["block"][k].as_py(), np.concatenate([one[:-1], two, three]), grams.counts(taken), shards).to_batches()
+
+    answers = _totals(blocks.mapInArrow(ask, SENT))
+
+    def counted(own: pa.Table, rows: pa.Table) -> pa.Table:
+        """The block's row with the totals of its n-grams, and what it knows of the continuations of contexts."""
+        grams, taken = read(own)
+        one, two, three = grams.keys()
+        totals, stands = _answer(np.concatenate([one[:-1], two, three]), rows)
+        w, p = grams.edges
+        next1 = np.bincount(grams.context, stands[w:p], w + 1)
+        next2 = np.bincount(grams.place, stands[p:], p - w)
+        more = [pa.array([_packed(x)], pa.binary()) for x in (totals, np.concatenate([next1, next2]))]
+        numbers = [pa.array([int(x)]) for x in (grams.n[taken].sum(), stands[:w].sum())]
+        return pa.table([*own.columns, *more, *numbers], [*own.column_names, "totals", "continued", "trained", "different"])
+
+    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    counts = written(both.applyInArrow(counted, kept + ", totals binary, continued binary, trained long, different long"), "lm-counted")
+    N, V = (int(x or 0) for x in counts.agg(F.sum("trained"), F.sum("different")).first())
+    least = max(1.0, EPSILON * N)
+
+    def contexts(row, grams: Grams, taken: np.ndarray, k: int = 0) -> tuple:
+        """Totals of the n-grams; of contexts: hashes, continuations the block knows, whether others must know more.
+
+        A context that comes once has one; one that comes in no other block has no more than here.
+        """
+        one, two, _ = grams.keys()
+        w, p = grams.edges
+        end = np.searchsorted(grams.words, np.uint64(END))  # texts begin as often as they end
+        totals, local, found = _numbers(row["totals"][k]).astype(np.int64), grams.counts(taken), _numbers(row["continued"][k]).astype(np.int64)
+        all_, mine = (np.concatenate([x[:w], x[end : end + 1], x[w:p]]) for x in (totals, local))
+        return totals, np.concatenate([one, two]), found, (mine < all_) & (all_ > 1), all_
+
+    def ask_next(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, keys, found, open_, _ = contexts(batch, *read(batch, k), k)
+                yield from _sent(batch["block"][k].as_py(), keys[open_], found[open_], shards).to_batches()
+
+    answers = _totals(counts.mapInArrow(ask_next, SENT))
+
+    def scored(own: pa.Table, rows: pa.Table) -> pa.Table:
+        grams, taken = read(own)
+        w, p = grams.edges
+        totals, keys, found, open_, all_ = contexts(own, grams, taken)
+        next_ = np.where(all_ == 1, 1, found)
+        next_[open_] = _answer(keys[open_], rows)[0]
+        c1, c2, c3 = totals[:w], totals[w:p], totals[p:]
+        docs = c1[np.searchsorted(grams.words, np.uint64(END))]
+        known = c1 >= least
+        new = np.append(np.where(known, np.cumsum(known) - 1, -1), known.sum())  # ids in the trie
+        good2 = (c2 > 0) & known[grams.word] & np.append(known, True)[grams.context]
+        good3 = (c3 > 0) & good2[grams.place] & known[grams.third]
+        total = np.append(c1, docs).astype(float)
+        share1 = np.where(total > 0, DISCOUNT * next_[: w + 1] / np.maximum(total, 1), 1)[np.append(known, True)]
+        share2 = (DISCOUNT * next_[w + 1 :] / np.maximum(c2, 1))[good2]
+        pairs = new[grams.context[good2]], new[grams.word[good2]], (c2[good2] - DISCOUNT) / total[grams.context[good2]], share1
+        at = grams.place[good3]
+        triples = (np.cumsum(good2) - 1)[at], new[grams.third[good3]], (c3[good3] - DISCOUNT) / c2[at], share2
+        trie = Trie(np.frombuffer(stored(grams.words[known], c1[known], N, V, pairs, triples), np.uint8))
+        uni = np.log10((c1 + 1) / (N + V + 1))[grams.ids]
+        out = trie.score(new[grams.ids], grams.first) + np.where(known[grams.ids], 0.0, uni)
+        sums = [grams.n, B.sums((c1[grams.ids] > 0).astype(np.int64), grams.n), np.full(len(grams.n), N), B.sums(uni, grams.n), B.sums(out, grams.n)]
+        return pa.table([own["ids"].combine_chunks().flatten(), own["held"].combine_chunks().flatten(), *map(pa.array, sums)], names)
+
+    names = [id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = f"`{id}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return counts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)

@@ -216,6 +216,35 @@ def test_rare_words_come_by_join(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]])
 
 
+def test_rare_ngrams_count_in_large_corpora(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 50_000, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 5000))) for k in range(500)]
+    rows += [(1000, "so rare a phrase w1"), (1001, "w2 rare a thing"), (2000, "so rare a phrase w3"), (2001, "rare a novelty")]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), lambda id: id < 2000).collect()}
+    texts = [[None, *words(t), "."] for k, t in rows if k < 2000]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        one.update(t)
+        two.update(zip(t, t[1:], strict=False))
+        three.update(zip(t, t[1:], t[2:], strict=False))
+    N, V, D = sum(one.values()) - len(texts), len(one) - 1, 0.75
+    assert N > 2_000_000
+    next1, next2 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+
+    def p(u, v, w):
+        out = (one[w] + 1) / (N + V + 1)
+        if one[v]:
+            out = max(two[v, w] - D, 0) / one[v] + D * next1[v] / one[v] * out
+        if two[u, v]:
+            out = max(three[u, v, w] - D, 0) / two[u, v] + D * next2[u, v] / two[u, v] * out
+        return out
+
+    for k, t in rows[-4:] + rows[:3]:
+        t = [0, None, *words(t), "."]
+        assert got[k]["score"] == pytest.approx(sum(math.log10(p(*t[j - 2 : j + 1])) for j in range(2, len(t))), rel=1e-5)
+
+
 def test_trie_is_a_distribution():
     keys = np.sort(np.append(bytework.mix(np.arange(1, 6, dtype=np.uint64)), np.uint64(lm.END)))
     counts = np.array([5, 4, 3, 6, 2, 4])
