@@ -21,13 +21,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id, one row of it."""
-    classes = written(neardup.near_duplicates(docs), "pipeline-classes")
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept, "pipeline-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: that of the smallest id, one row of it.
+
+    Texts are told apart by their keys, so rows with a null id are kept like others; a group without ids
+    keeps a row of one of its texts.
+    """
+    rows, texts = neardup.grouped(docs)
+    first = texts.groupBy("group").agg(F.min(F.struct(F.col("least").isNull(), "least", "k1", "k2")).alias("first"))
+    kept = written(first.select("first.k1", "first.k2", "first.least"), "pipeline-kept")
+    out = neardup.keyed(docs).join(kept, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    if not rows.groupBy("id", "k1", "k2").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["k1", "k2"])
     return out.select(*docs.columns)
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orogen.llm import bytework as B
 from orogen.llm.cluster import dropped, written
@@ -204,6 +205,31 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / whole if whole else 1.0
 
 
+def text_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word sequence, as signed 64-bit numbers."""
+    first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, _, per, h in B.words(texts):
+        place = np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per)
+        for odd, out in ((_ODD[60], first), (_ODD[61], second)):
+            z = B.mix(h + (place.astype(np.uint64) + np.uint64(1)) * odd)
+            total = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(z, out=total[1:])
+            at = np.concatenate(([0], np.cumsum(per)))
+            out.append(B.mix(total[at[1:]] - total[at[:-1]] + per.astype(np.uint64)))
+    return np.concatenate(first).view(np.int64), np.concatenate(second).view(np.int64)
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows with the keys k1, k2 of their text."""
+    at = docs.columns.index(text)
+
+    def add(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, text_keys(batch.column(at)))], [*batch.schema.names, "k1", "k2"])
+
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id, class_id (smallest id of its group) and links (verified ones of its text).
 
@@ -211,9 +237,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", sim
 
     Texts are words between white space, A-Z lowered.  Equal word sequences are copies; null counts as
     empty, and texts without words are copies of each other.  A text of fewer than five words is one
-    shingle.  Repeated rows stay, with one class; rows with a null id are left in with the class of
-    their text, but never name it unless the whole text has none (then class_id is null).
+    shingle.  Repeated rows stay, with one class.  Texts, not ids, are compared: rows with a null id are
+    searched like others, but name a class only if no row of it has an id (then class_id is null).
     """
+    signed, named = grouped(docs, text, id, similarity)
+    return signed.join(named, ["k1", "k2"]).select(F.col("id").cast(docs.schema[id].dataType).alias(id), "class_id", "links")
+
+
+def grouped(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, k1, k2: their text's key), and for each text k1, k2, least (its smallest id), group, class_id and links."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     weigh = spark.sparkContext.broadcast(idf(texts.select("text")))
@@ -222,29 +254,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", sim
 
     def sign(batches):
         for batch in batches:
-            first, second, found = [], [], []
-            for i, j, per, h in B.words(batch.column(1)):
-                place = np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per)
-                for odd, out in ((_ODD[60], first), (_ODD[61], second)):
-                    z = B.mix(h + (place.astype(np.uint64) + np.uint64(1)) * odd)
-                    total = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(z, out=total[1:])
-                    at = np.concatenate(([0], np.cumsum(per)))
-                    out.append(B.mix(total[at[1:]] - total[at[:-1]] + per.astype(np.uint64)))
+            found = []
+            for _, _, per, h in B.words(batch.column(1)):
                 s, times, counts = distinct(*shingles(per, h))
                 drawn = samples(s, times * weigh.value(s), counts, BANDS * ROWS)
                 found.append(np.concatenate([bands(drawn), packed(drawn)], axis=1))
             made = np.concatenate(found) if found else np.zeros((0, len(columns)), np.int64)
-            keys = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(columns)))], ["id", "k1", "k2", *columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, text_keys(batch.column(1))), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(columns)))], ["id", "k1", "k2", *columns])
 
     signed = written(texts.mapInArrow(sign, "id long, k1 long, k2 long, " + ", ".join(f"{n} long" for n in columns)), "neardup-signed")
-    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), *(F.max(n).alias(n) for n in columns)), "neardup-classes")
+    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("least"), *(F.max(n).alias(n) for n in columns)).withColumn("rep", F.col("k1")), "neardup-classes")
     links, stars = _links(classes, texts, names, weigh, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    named = classes.select("k1", "k2", "rep").join(stars, "rep", "left").join(degree, "rep", "left")
-    named = written(named.select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "neardup-named")
-    return signed.select("id", "k1", "k2").join(named, ["k1", "k2"]).select(F.col("id").cast(docs.schema[id].dataType).alias(id), "class_id", "links")
+    stars = stars.unionByName(stars.select(F.col("root").alias("rep"), "root").distinct())
+    lead = stars.join(classes.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("lead"))
+    named = classes.select("k1", "k2", "least", "rep").join(stars.join(lead, "root"), "rep", "left").join(degree, "rep", "left")
+    class_id = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("lead")).alias("class_id")
+    named = named.select("k1", "k2", "least", F.coalesce("root", "rep").alias("group"), class_id, F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return signed.select("id", "k1", "k2"), written(named, "neardup-named")
 
 
 def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +284,7 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
     they part at once; the bucket left behind loses its centre each time.  Pairs whose samples agree
     too rarely leave before their texts are read.
     """
-    profile = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.array(*names).alias("all"), *PACKED)
+    profile = classes.select(F.col("rep").alias("id"), F.array(*names).alias("all"), *PACKED)
     # the texts of candidates, once: what the rounds read is the share of the corpus that has a near copy
     kept = tried = links = roots = None
     since: list[DataFrame] = []
@@ -325,7 +352,7 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         pairs = pairs.filter("root <> b_root").filter(agreeing() >= AGREE).select(F.greatest("id", "b_id").alias("a"), F.least("id", "b_id").alias("b")).distinct()
         if links is None:
             own = small_or_shuffled(written(members.select("id").distinct(), "neardup-candidates"))
-            kept = written(texts.filter("id is not null").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
+            kept = written(keyed(texts.select("text")).select(F.col("k1").alias("id"), "text").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
             tried = written(pairs, "neardup-pairs")
             links = compared(tried)
             roots = components(links)

@@ -364,5 +364,19 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_keeps_rows_without_ids(spark):
+    import corpus_pipeline
+
+    base = [[f"{g}word{k}" for k in range(200)] for g in "abcd"]
+    near = lambda g: " ".join([*base[g][:100], "other", *base[g][101:]])
+    a, b, c, d = (" ".join(w) for w in base)
+    texts = [(None, a), (None, b), (None, b), (None, c), (None, near(2)), (5, d), (None, near(3)), (None, d), (7, "one id two texts of it"), (7, "and this is the other of them")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect())
+    assert max(got.values()) == 1 and len(got) == 6
+    assert {(None, a), (None, b), (5, d), *texts[-2:]} < set(got)
+    assert len({(None, c), (None, near(2))} & set(got)) == 1
+
+
 def test_queries_cover_the_list():
     assert [q.split("_")[0] for q in queries.queries()] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
