@@ -110,13 +110,20 @@ _AO = " UNION ALL ".join(f"SELECT r, c, round(coalesce(lit, 1), 9) AS lit FROM c
 
 @query(f"WITH {T.V1}, crop AS (SELECT r - 100 AS r, c, h FROM v1 WHERE r BETWEEN 100 AND 163), layers AS ({_AO}), ao AS (SELECT r, c, CAST(sum(CAST(lit AS DECIMAL(18,9))) AS DOUBLE) / 16 AS ao FROM layers GROUP BY r, c) SELECT v1.r, v1.c, round(coalesce(ao, 1), 6) + 0.0 AS ao FROM v1 LEFT JOIN ao ON v1.r = ao.r + 100 AND v1.c = ao.c")
 def ao_true_hemi(spark, sf_dir):
-    """Occlusion of a window of the raster, the rest open: the crop is part of the operator."""
+    """Occlusion of a window of the raster, the rest open, as its SQL has it; ao_whole takes all cells."""
     cells = T.raster(spark, sf_dir)
     part = grid.crop(cells, 100, 0, 64, 64)
     ao = shadow.ambient_occlusion(part, 64, 64, DX, DX)
     return rounded(grid.splat(cells, ao, 100, 0, "ao").select("r", "c", "ao"), "ao")
 
 
+@query()
+def ao_whole(spark, sf_dir):
+    """Occlusion of all cells of the raster."""
+    cells = T.raster(spark, sf_dir)
+    return rounded(shadow.ambient_occlusion(cells, *size(cells), DX, DX), "ao")
+
+
 @query(f"WITH {T.V2} SELECT f AS factor, r // f AS r, c // f AS c, round(avg(h), 6) + 0.0 AS h FROM v2, (SELECT CAST(unnest([2, 4, 8]) AS BIGINT) AS f) GROUP BY ALL")
 def downsample_multi(spark, sf_dir):
     return rounded(pyramid.downsample(T.raster_with_voids(spark, sf_dir), [2, 4, 8]), "h")
@@ -161,6 +168,17 @@ def stitch_windows(spark, sf_dir):
     return grid.stitch([(v.filter("r < 40"), 0, 0), (up(v.filter("r BETWEEN 30 AND 80"), 1.0), -5, 3), (up(v.filter("r BETWEEN 60 AND 120"), 2.0), -30, -2)], 80, 64)
 
 
+@query()
+def stitch_whole(spark, sf_dir):
+    """Three overlapping windows that hold all rows and columns, on a grid of the raster's size."""
+    v = T.raster_with_voids(spark, sf_dir)
+    m, n = size(v)
+    up = lambda rows, by: rows.withColumn("h", F.col("h") + by)
+    first, last = F.col("r") < -(-m // 2), F.col("r") >= m * 5 // 8
+    middle = F.col("r").between(m * 3 // 8, m * 3 // 4)
+    return grid.stitch([(v.filter(first), 0, 0), (up(v.filter(middle), 1.0), -(m // 16), n // 20), (up(v.filter(last), 2.0), 0, 0)], m, n)
+
+
 @query(f"WITH {T.V1}, g AS (SELECT a AS r, b AS c FROM (SELECT unnest(range(0, 192)) AS a), (SELECT unnest(range(0, 48)) AS b)) SELECT g.r, g.c, CASE WHEN g.r // 64 = 1 AND g.c // 16 = 2 THEN CAST(0 AS DOUBLE) ELSE coalesce(h, 0) END AS h FROM g LEFT JOIN v1 USING (r, c)")
 def assemble_3x3(spark, sf_dir):
     v = T.raster(spark, sf_dir).filter("r < 192 AND c < 48")
@@ -168,6 +186,16 @@ def assemble_3x3(spark, sf_dir):
     return grid.assemble(tiled.filter("NOT (tr = 1 AND tc = 2)"), 64, 16)
 
 
+@query()
+def assemble_whole(spark, sf_dir):
+    """The whole raster from 3 x 3 tiles of a third of its rows and columns; that in the middle of the east is missing."""
+    v = T.raster(spark, sf_dir)
+    m, n = size(v)
+    rows, columns = max(1, -(-m // 3)), max(1, -(-n // 3))
+    tiled = v.select(F.floor(F.col("r") / rows).alias("tr"), F.floor(F.col("c") / columns).alias("tc"), (F.col("r") % rows).alias("r"), (F.col("c") % columns).alias("c"), "h")
+    return grid.assemble(tiled.filter("NOT (tr = 1 AND tc = 2)"), rows, columns).filter((F.col("r") < m) & (F.col("c") < n))
+
+
 @query(f"WITH {T.V1}, fine AS (SELECT r, c, h + 5 AS f FROM v1 WHERE r < 60 AND c < 60), x AS (SELECT v1.r, v1.c, h, f, v1.c * CAST(30 AS DOUBLE) AS x, v1.r * CAST(30 AS DOUBLE) AS y FROM v1 LEFT JOIN fine ON v1.r = fine.r AND v1.c = fine.c), t AS (SELECT r, c, h, f, CASE WHEN x < 1800 AND y < 1800 AND f IS NOT NULL THEN greatest(0, least(1, least(x, 1800 - x, y, 1800 - y) / CAST(500 AS DOUBLE))) ELSE 0 END AS t FROM x) SELECT r, c, round(h + (coalesce(f, h) - h) * t * t * (3 - 2 * t), 6) + 0.0 AS h FROM t")
 def tier_blend(spark, sf_dir):
     base = T.raster(spark, sf_dir)

@@ -170,3 +170,26 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = drift.drift_gate(track, 80.0)
     assert sorted((r["user_id"], r["event_id"]) for r in spark.table("gate").collect()) == sorted((r["user_id"], r["event_id"]) for r in want.collect())
+
+
+def test_whole_rasters(spark):
+    from orogen.plans.queries import QUERIES
+    from orogen.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    h = array(tables.raster(spark, sf), (500, 64))
+    ao = np.mean([loop_shadow(h, k * math.tau / 16, math.radians(10), 30.0, 30.0, 200.0) for k in range(16)], axis=0)
+    assert np.allclose(array(QUERIES["ao_whole"](spark, sf), h.shape, "ao"), ao, atol=2e-6)
+    tiled = h.copy()
+    tiled[167:334, 44:] = 0
+    assert np.array_equal(array(QUERIES["assemble_whole"](spark, sf), h.shape), tiled)
+    v = array(tables.raster_with_voids(spark, sf), h.shape)
+    want = np.full(h.shape, np.nan)
+    want[:250] = v[:250]
+    moved = np.full(h.shape, np.nan)
+    moved[187 - 31 : 376 - 31, 3:] = v[187:376, :-3] + 1
+    last = np.full(h.shape, np.nan)
+    last[312:] = v[312:] + 2
+    for part in (moved, last):
+        want = np.where(np.isnan(part), want, part)
+    assert np.allclose(array(QUERIES["stitch_whole"](spark, sf), h.shape), want, equal_nan=True)
