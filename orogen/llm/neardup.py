@@ -4,8 +4,8 @@
 2. Each text gets K consistent weighted samples; three of them are a band.  Equal texts are one class
    from here on.
 3. Classes that share a band are compared pair by pair if they are few.  In larger buckets all are
-   compared with one centre.  Those too far from it get samples of how they differ from it, and meet
-   again where these agree.
+   compared with one centre.  If some are too far from it, all get samples of how they differ from it,
+   and far ones meet far ones and members of the centre's group again where these agree.
    Pairs of which enough samples agree are verified: weighted Jaccard similarity of the whole texts.
 4. Links become groups by alternating large and small stars.
 
@@ -35,6 +35,9 @@ FEW, MORE = 16, 256
 #: Bands of samples of a difference.  Texts of one length, both below 0.8 to a centre and at 0.8 or more to each
 #: other, differ from it in ways alike by 1/3 at least: they share a band with probability 1 - (1 - 1/9)^40 = 0.99.
 FINER, OF = 40, 2
+#: Samples by which a far text meets members of the centre's group.  One that is near the centre differs from it by little,
+#: so they differ from it in ways alike by 1/20 or less at times: they share one of 80 with probability 1 - (19/20)^80 = 0.98.
+SINGLE = FINER * OF
 #: Samples that must agree for texts to be compared: a pair at 0.8 has fewer with probability 1e-4.
 AGREE = 19
 #: Columns of the samples, four to a column.
@@ -310,7 +313,7 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
     def differ(batches):
         memo: dict[int, tuple] = {}
         for batch in batches:
-            line, id, centre, x, y = (batch.column(k) for k in range(5))
+            line, id, centre, far, x, y = (batch.column(k) for k in range(6))
             for i, j, *words in B.words(x):
                 h, times, counts = distinct(*shingles(*words))
                 edges, weight, found = np.append(0, np.cumsum(counts)), times * weigh.value(h), []
@@ -323,15 +326,16 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
                     found.append(difference((h[part], weight[part]), memo[c]))
                 counts = np.array([len(x) for x, _ in found], np.int64)
                 drawn = samples(*(np.concatenate([x[k] for x in found]) for k in (0, 1)), counts, FINER * OF)
-                keys = bands(drawn, FINER, OF).view(np.uint64) + np.arange(FINER, dtype=np.uint64)
+                keys = np.concatenate([bands(drawn, FINER, OF), bands(drawn, SINGLE, 1)], axis=1).view(np.uint64) + np.arange(FINER + SINGLE, dtype=np.uint64)
                 keys = B.mix(keys ^ line.slice(i, j - i).to_numpy().view(np.uint64)[:, None]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([id.slice(i, j - i), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "finer"])
+                finer = [x if f else x[FINER:] for x, f in zip(keys, far.slice(i, j - i).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([id.slice(i, j - i), far.slice(i, j - i), pa.array(finer, pa.list_(pa.int64()))], ["id", "far", "finer"])
 
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
 
-    rows = profile.select("id", F.posexplode("all").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    rows = profile.select("id", F.posexplode("all").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.lit(True).alias("far"))
     few = FEW
     while True:
         crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -348,7 +352,9 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
         best = large.groupBy("bucket").agg(F.max(F.struct("standing", (-F.col("id")).alias("low"), "id", "root", *PACKED)).alias("best")).select("bucket", "best.*").select("bucket", *one_of)
         best = written(best, "neardup-centres")
         small = members.filter(F.col("n") <= few)
-        pairs = small.join(small.select("bucket", *one_of), "bucket").filter("id > b_id").unionByName(large.join(best, "bucket").filter("id <> b_id"))
+        # members of a centre's group need no comparison with each other
+        other = small.select("bucket", F.col("far").alias("b_far"), *one_of)
+        pairs = small.filter("far").join(other, "bucket").filter("id > b_id OR NOT b_far").drop("far", "b_far").unionByName(large.drop("far").join(best, "bucket").filter("id <> b_id"))
         pairs = pairs.filter("root <> b_root").filter(agreeing() >= AGREE).select(F.greatest("id", "b_id").alias("a"), F.least("id", "b_id").alias("b")).distinct()
         if links is None:
             own = small_or_shuffled(written(members.select("id").distinct(), "neardup-candidates"))
@@ -361,15 +367,21 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
             found = compared(pairs)
             links, tried = links.unionByName(found), tried.unionByName(pairs)
             since.append(found)
-        # who is in its centre's group by the first links, or linked to it, needs no further comparison with it
-        far = apart(large.select("id", "bucket").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket"), "id", "centre", roots)
+        # who is in its centre's group by the first links, or linked to it, needs no further comparison with it, only with those that are far
+        around = large.select("id", "bucket").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket").filter("id <> centre")
+        # at first buckets of one centre go together; later a bucket keeps apart, so it lacks its centre and gets smaller
+        around = written(around.select((F.xxhash64("centre") if few == FEW else F.xxhash64("bucket", "centre")).alias("line"), "id", "centre").distinct(), "neardup-around")
+        far = apart(around, "id", "centre", roots)
         if since:
             far = far.withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(since[-1], ["a", "b"], "left_anti")
-        # at first buckets of one centre go together; later a bucket keeps apart, so it lacks its centre and gets smaller
-        far = far.select((F.xxhash64("centre") if few == FEW else F.xxhash64("bucket", "centre")).alias("line"), "id", "centre").distinct()
-        both = far.join(kept.withColumnRenamed("text", "x"), "id").join(kept.withColumnsRenamed({"id": "centre", "text": "y"}), "centre")
-        finer = written(both.select("line", "id", "centre", "x", "y").mapInArrow(differ, "id long, finer array<long>"), "neardup-finer")
-        rows = finer.select("id", F.explode("finer").alias("bucket")).distinct()
+        far = written(far.select("line", "id", F.lit(True).alias("far")), "neardup-far")
+        dealt = around.join(far.select("line").distinct(), "line", "left_semi").join(far, ["line", "id"], "left").na.fill({"far": False})
+        both = dealt.join(kept.withColumnRenamed("text", "x"), "id").join(kept.withColumnsRenamed({"id": "centre", "text": "y"}), "centre")
+        finer = written(both.select("line", "id", "centre", "far", "x", "y").mapInArrow(differ, "id long, far boolean, finer array<long>"), "neardup-finer")
+        rows = finer.select("id", "far", F.explode("finer").alias("bucket"))
+        # a bucket without far members has nothing to compare
+        some = rows.groupBy("bucket").agg(F.max("far").alias("far"), F.count("*").alias("n")).filter("far AND n > 1").select("bucket")
+        rows = rows.join(some, "bucket").groupBy("id", "bucket").agg(F.max("far").alias("far"))
         few = MORE
 
 

@@ -146,6 +146,24 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_far_texts_meet_the_group_of_a_centre(spark):
+    rng = np.random.default_rng(11)
+    rows, lone = [], []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in rng.permutation(400)]
+        more = [f"m{g}x{k}" for k in range(108)]
+        family = [" ".join([*base[:k], f"e{g}x{k}", *base[k + 1 :]]) for k in rng.integers(20, 380, 40)]
+        family += [" ".join(base), " ".join(base + more[:20]), " ".join(base + more)]
+        lone.append(len(rows) + len(family) - 1)
+        rows += [(len(rows) + k, t) for k, t in enumerate(family)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weigh = neardup.idf(docs.select("text"))
+    sets = {k: neardup.weighted(next(bytework.words(pa.array([rows[k][1]])))[2:], weigh) for n in lone for k in range(n - 2, n + 1)}
+    assert all(neardup.jaccard(sets[n], sets[n - 2]) < 0.8 <= neardup.jaccard(sets[n], sets[n - 1]) for n in lone)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert all(got[n] == got[n - 1] == got[n - 2] for n in lone)
+
+
 def test_weighted_samples_estimate_jaccard():
     rng = np.random.default_rng(6)
     h = bytework.mix(np.arange(1, 400, dtype=np.uint64))
