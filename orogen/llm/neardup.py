@@ -1,16 +1,20 @@
 """Near duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
 1. Document frequencies of five-word shingles, over all documents, in a count sketch of fixed size.
-2. Each text gets K consistent weighted samples; three of them are a band.  Equal texts are one class
-   from here on.
-3. Classes that share a band are compared pair by pair if they are few.  In larger buckets all are
-   compared with one centre.  If some are too far from it, all get samples of how they differ from it,
-   and far ones meet far ones and members of the centre's group again where these agree.
-   Pairs of which enough samples agree are verified: weighted Jaccard similarity of the whole texts.
-4. Links become groups by alternating large and small stars.
-
-A hot group costs one comparison per member; members, not pairs, are shuffled, and hot keys meet
-only in joins that adaptive execution can split and in sums that combine before the shuffle.
+2. Each text gets 36 consistent weighted samples; three of them are a band.  Equal texts are one class
+   from here on.  Classes that share a band value are a bucket.
+3. A small bucket is compared pair by pair.  Pairs of which enough samples agree are verified: weighted Jaccard
+   similarity of the whole texts.
+4. A larger bucket is compared with one member, its centre.  Every member becomes its difference from the bucket's
+   template (what most members have), a weighted set that is short for copies.  With D the weight of a difference and
+   W that of the text, two texts are similar exactly if their differences overlap by (x + y) / 2 at least, x = D - W / 9
+   (for a similarity of 0.8).  So whoever is close enough to the member next to the template is linked to it without a look
+   at the texts; all pairs beyond share one of the rarest parts of their differences (a prefix filter), which become the
+   buckets of the next round.  What a template crowd has in common is no part of any difference.
+5. Links become groups by alternating large and small stars.
+
+Only step 2 is approximate (a pair at 0.8 shares no band with probability 2e-4).  Members, not pairs, are shuffled; hot
+keys meet only in joins that adaptive execution can split and in sums that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -24,28 +28,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orogen.llm import bytework as B
-from orogen.llm.cluster import dropped, written
+from orogen.llm.cluster import dropped, sketch, written
 from orogen.llm.cluster import small as small_or_shuffled
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of samples: a pair at 0.8 shares one with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
-#: Members of a bucket, and of a finer one, up to which all its pairs are compared.
-FEW, MORE = 16, 256
-#: Bands of samples of a difference.  Texts of one length, both below 0.8 to a centre and at 0.8 or more to each
-#: other, differ from it in ways alike by 1/3 at least: they share a band with probability 1 - (1 - 1/9)^40 = 0.99.
-FINER, OF = 40, 2
-#: Samples by which a far text meets members of the centre's group.  One that is near the centre differs from it by little,
-#: so they differ from it in ways alike by 1/20 or less at times: they share one of 80 with probability 1 - (19/20)^80 = 0.98.
-SINGLE = FINER * OF
+#: Members of a bucket up to which all its pairs are compared.
+FEW = 16
+#: Pairs that a bucket of differences may have; those of a larger one differ from a template of their own again.
+PAIRS = 1 << 22
+#: Rounds of differences; after them buckets of any size are joined under the bound on their overlap.
+ROUNDS = 6
 #: Samples that must agree for texts to be compared: a pair at 0.8 has fewer with probability 1e-4.
 AGREE = 19
 #: Columns of the samples, four to a column.
 PACKED = [f"s{k}" for k in range(BANDS * ROWS // 4)]
-#: log2 of the counters of the document frequency sketch, and its chunks.
-SKETCH, CHUNKS = 20, 64
+#: log2 of the counters of a sketch of frequencies.
+SKETCH = 20
+#: 64-bit words of the map of a difference.
+MAP = [f"m{k}" for k in range(8)]
 #: A shingle in fewer than one of RARE documents counts as rare; IDF lies in [1, 1 + LIFT].
 RARE, LIFT = 500, 0.15
+#: Weight that a place of the map stands for: that of a rare shingle.
+UNIT = 1 + LIFT
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -160,31 +166,11 @@ class Idf:
 def idf(texts: DataFrame) -> Idf:
     """Document frequencies over all rows of texts (column text); the sketch has 4 MB for any input."""
 
-    def count(batches):
-        total, n = np.zeros(1 << SKETCH, np.int32), 0
-        for batch in batches:
-            for _, _, per, h in B.words(batch.column(0)):
-                s, runs = shingles(per, h)
-                s, _, _ = distinct(s, runs)
-                total += np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.int32)
-                n += len(per)
-        kind = np.min_scalar_type(int(total.max()))  # as few bytes a counter as will do
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([n if k == 0 else 0 for k in range(CHUNKS)], pa.int64()), pa.array([total[k * size : (k + 1) * size].astype(kind).tobytes() for k in range(CHUNKS)], pa.binary())], ["chunk", "n", "counts"])
-
-    size = (1 << SKETCH) // CHUNKS
-
-    def add(group: pa.Table) -> pa.Table:
-        parts = (x.as_buffer() for x in group["counts"])
-        total = sum(np.frombuffer(x, f"u{len(x) // size}").astype(np.uint64) for x in parts)
-        return pa.table([group["chunk"][:1], pa.array([sum(group["n"].to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["chunk", "n", "counts"])
-
-    rows = texts.mapInArrow(count, "chunk int, n long, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, n long, counts binary").collect()
-    out, n = np.zeros(1 << SKETCH), 0
-    for r in rows:
-        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["counts"], np.uint64)
-        n += r["n"]
-    return Idf(out, n)
+    def keys(batch):
+        for _, _, per, h in B.words(batch.column(0)):
+            yield distinct(*shingles(per, h))[0]
+
+    return Idf(sketch(texts, keys, SKETCH), texts.count())
 
 
 def weighted(words: tuple, weigh: Idf) -> tuple[np.ndarray, np.ndarray]:
@@ -222,33 +208,32 @@ def text_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(first).view(np.int64), np.concatenate(second).view(np.int64)
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with the keys k1, k2 of their text."""
+def keyed(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("k1", "k2")) -> DataFrame:
+    """Rows with the keys of their text in two more columns."""
     at = docs.columns.index(text)
 
     def add(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, text_keys(batch.column(at)))], [*batch.schema.names, "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, text_keys(batch.column(at)))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)]))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, class_id (smallest id of its group) and links (verified ones of its text).
-
-    Texts that are in one group by other links are not compared further, so ``links`` need not hold all.
+    """One row per document: id and class_id (smallest id of its group).
 
     Texts are words between white space, A-Z lowered.  Equal word sequences are copies; null counts as
     empty, and texts without words are copies of each other.  A text of fewer than five words is one
     shingle.  Repeated rows stay, with one class.  Texts, not ids, are compared: rows with a null id are
-    searched like others, but name a class only if no row of it has an id (then class_id is null).
+    searched like others, but name a class only if no row of it has an id (then class_id is null).  An id
+    of several texts names each of their classes of which it is the smallest.  Other columns are not read.
     """
     signed, named = grouped(docs, text, id, similarity)
-    return signed.join(named, ["k1", "k2"]).select(F.col("id").cast(docs.schema[id].dataType).alias(id), "class_id", "links")
+    return signed.join(named, ["k1", "k2"]).select(F.col("id").cast(docs.schema[id].dataType).alias(id), "class_id")
 
 
 def grouped(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, k1, k2: their text's key), and for each text k1, k2, least (its smallest id), group, class_id and links."""
+    """Rows (id, k1, k2: their text's key), and for each text k1, k2, least (its smallest id), group and class_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     weigh = spark.sparkContext.broadcast(idf(texts.select("text")))
@@ -266,33 +251,30 @@ def grouped(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, text_keys(batch.column(1))), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(columns)))], ["id", "k1", "k2", *columns])
 
     signed = written(texts.mapInArrow(sign, "id long, k1 long, k2 long, " + ", ".join(f"{n} long" for n in columns)), "neardup-signed")
-    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("least"), *(F.max(n).alias(n) for n in columns)).withColumn("rep", F.col("k1")), "neardup-classes")
-    links, stars = _links(classes, texts, names, weigh, similarity)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("least"), *(F.max(n).alias(n) for n in columns)), "neardup-classes")
+    stars = _groups(classes.withColumnRenamed("k1", "id"), texts, names, weigh, similarity)
     stars = stars.unionByName(stars.select(F.col("root").alias("rep"), "root").distinct())
-    lead = stars.join(classes.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("lead"))
-    named = classes.select("k1", "k2", "least", "rep").join(stars.join(lead, "root"), "rep", "left").join(degree, "rep", "left")
+    lead = stars.join(classes.select(F.col("k1").alias("rep"), "least"), "rep").groupBy("root").agg(F.min("least").alias("lead"))
+    named = classes.select("k1", "k2", "least").join(stars.join(lead, "root").withColumnRenamed("rep", "k1"), "k1", "left")
     class_id = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("lead")).alias("class_id")
-    named = named.select("k1", "k2", "least", F.coalesce("root", "rep").alias("group"), class_id, F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return signed.select("id", "k1", "k2"), written(named, "neardup-named")
+    named = written(named.select("k1", "k2", "least", F.coalesce("root", "k1").alias("group"), class_id), "neardup-named")
+    dropped(classes)
+    return signed.select("id", "k1", "k2"), named
 
 
-def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between the representatives of different texts, a > b, and their components.
+def _groups(profile: DataFrame, texts: DataFrame, names: list[str], weigh, similarity: float) -> DataFrame:
+    """Groups of linked texts, as components() gives them.
 
-    Classes that share a band value are a bucket.  In a bucket of few members all pairs are compared.
-    Members of a larger one are compared with its centre; those too far from it are dealt into finer
-    buckets by bands of samples of their difference from the centre, and so on until no bucket is
-    shared.  Copies of one origin with edits of their own differ from it in ways that hardly agree, so
-    they part at once; the bucket left behind loses its centre each time.  Pairs whose samples agree
-    too rarely leave before their texts are read.
+    ``profile`` has a row for each text: its key (id), its bands and samples.
     """
-    profile = classes.select(F.col("rep").alias("id"), F.array(*names).alias("all"), *PACKED)
-    # the texts of candidates, once: what the rounds read is the share of the corpus that has a near copy
-    kept = tried = links = roots = None
-    since: list[DataFrame] = []
-
-    def one(text: str) -> tuple:
+    spark, part = profile.sparkSession, (1 - similarity) / (1 + similarity)
+    # no texts but those that share a band with another are read again
+    rows = profile.select("id", F.posexplode(F.array(*names)).alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    rows = rows.withColumns({"line": F.lit(0).cast("long"), "seeks": F.lit(True), "found": F.lit(True)})
+    kept = facts = roots = None
+    links: list[DataFrame] = []
+
+    def one(text: str) -> tuple[np.ndarray, np.ndarray]:
         _, _, per, h = next(B.words(pa.array([text], pa.string())))
         return weighted((per, h), weigh.value)
 
@@ -313,76 +295,172 @@ def _links(classes: DataFrame, texts: DataFrame, names: list[str], weigh, simila
     def differ(batches):
         memo: dict[int, tuple] = {}
         for batch in batches:
-            line, id, centre, far, x, y = (batch.column(k) for k in range(6))
+            line, id, centre, x, y = (batch.column(k) for k in range(5))
             for i, j, *words in B.words(x):
                 h, times, counts = distinct(*shingles(*words))
                 edges, weight, found = np.append(0, np.cumsum(counts)), times * weigh.value(h), []
                 for k in range(i, j):
-                    c, part = centre[k].as_py(), slice(edges[k - i], edges[k - i + 1])
+                    c, own = centre[k].as_py(), slice(edges[k - i], edges[k - i + 1])
                     if c not in memo:
                         if len(memo) > 200:
                             memo.clear()
                         memo[c] = one(y[k].as_py())
-                    found.append(difference((h[part], weight[part]), memo[c]))
-                counts = np.array([len(x) for x, _ in found], np.int64)
-                drawn = samples(*(np.concatenate([x[k] for x in found]) for k in (0, 1)), counts, FINER * OF)
-                keys = np.concatenate([bands(drawn, FINER, OF), bands(drawn, SINGLE, 1)], axis=1).view(np.uint64) + np.arange(FINER + SINGLE, dtype=np.uint64)
-                keys = B.mix(keys ^ line.slice(i, j - i).to_numpy().view(np.uint64)[:, None]).view(np.int64)
-                finer = [x if f else x[FINER:] for x, f in zip(keys, far.slice(i, j - i).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([id.slice(i, j - i), far.slice(i, j - i), pa.array(finer, pa.list_(pa.int64()))], ["id", "far", "finer"])
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links")
-
-    rows = profile.select("id", F.posexplode("all").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"), F.lit(True).alias("far"))
-    few = FEW
-    while True:
-        crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        members = written(rows.join(crowd, "bucket"), "neardup-crowded")
-        if links is not None and members.isEmpty():
-            # groups of the first links are stars by now; only what was found since joins them
-            return links, roots if not since else components(reduce(DataFrame.unionByName, since, roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-        # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
-        known = members.groupBy("id").agg(F.sum("n").alias("standing")).join(profile.select("id", *PACKED), "id")
-        known = known.join(roots.withColumnRenamed("rep", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")) if roots else known.withColumn("root", F.col("id"))
-        members = written(members.join(known, "id"), "neardup-members")
-        one_of = [F.col(x).alias(f"b_{x}") for x in ("id", "root", *PACKED)]
-        large = members.filter(F.col("n") > few)
-        best = large.groupBy("bucket").agg(F.max(F.struct("standing", (-F.col("id")).alias("low"), "id", "root", *PACKED)).alias("best")).select("bucket", "best.*").select("bucket", *one_of)
-        best = written(best, "neardup-centres")
-        small = members.filter(F.col("n") <= few)
-        # members of a centre's group need no comparison with each other
-        other = small.select("bucket", F.col("far").alias("b_far"), *one_of)
-        pairs = small.filter("far").join(other, "bucket").filter("id > b_id OR NOT b_far").drop("far", "b_far").unionByName(large.drop("far").join(best, "bucket").filter("id <> b_id"))
-        pairs = pairs.filter("root <> b_root").filter(agreeing() >= AGREE).select(F.greatest("id", "b_id").alias("a"), F.least("id", "b_id").alias("b")).distinct()
-        if links is None:
+                    f, v = difference((h[own], weight[own]), memo[c])
+                    size, other = float(weight[own].sum(dtype=np.float64)), float(memo[c][1].sum(dtype=np.float64))
+                    found.append((size, float(v.sum()) <= part * (size + other), f.tobytes(), v.astype("<f8").tobytes()))
+                yield pa.RecordBatch.from_arrays([*(z.slice(i, j - i) for z in (line, id, centre)), *map(pa.array, zip(*found, strict=True))], ["line", "id", "centre", "size", "near", "parts", "weights"])
+
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        crowd = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("seeks").alias("seekers"), F.count_if("found").alias("finds")).filter("n > 1 AND seekers > 0 AND finds > 0")
+        members = written(rows.join(crowd, "bucket"), "neardup-members")
+        large = F.lit(False) if last else F.col("n") > FEW if not turn else F.col("seekers") * F.col("finds") > PAIRS
+        if not turn:
             own = small_or_shuffled(written(members.select("id").distinct(), "neardup-candidates"))
             kept = written(keyed(texts.select("text")).select(F.col("k1").alias("id"), "text").join(own, "id", "left_semi").dropDuplicates(["id"]), "neardup-texts")
-            tried = written(pairs, "neardup-pairs")
-            links = compared(tried)
-            roots = components(links)
-        else:
-            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-            found = compared(pairs)
-            links, tried = links.unionByName(found), tried.unionByName(pairs)
-            since.append(found)
-        # who is in its centre's group by the first links, or linked to it, needs no further comparison with it, only with those that are far
-        around = large.select("id", "bucket").join(best.select("bucket", F.col("b_id").alias("centre")), "bucket").filter("id <> centre")
-        # at first buckets of one centre go together; later a bucket keeps apart, so it lacks its centre and gets smaller
-        around = written(around.select((F.xxhash64("centre") if few == FEW else F.xxhash64("bucket", "centre")).alias("line"), "id", "centre").distinct(), "neardup-around")
-        far = apart(around, "id", "centre", roots)
-        if since:
-            far = far.withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(since[-1], ["a", "b"], "left_anti")
-        far = written(far.select("line", "id", F.lit(True).alias("far")), "neardup-far")
-        dealt = around.join(far.select("line").distinct(), "line", "left_semi").join(far, ["line", "id"], "left").na.fill({"far": False})
-        both = dealt.join(kept.withColumnRenamed("text", "x"), "id").join(kept.withColumnsRenamed({"id": "centre", "text": "y"}), "centre")
-        finer = written(both.select("line", "id", "centre", "far", "x", "y").mapInArrow(differ, "id long, far boolean, finer array<long>"), "neardup-finer")
-        rows = finer.select("id", "far", F.explode("finer").alias("bucket"))
-        # a bucket without far members has nothing to compare
-        some = rows.groupBy("bucket").agg(F.max("far").alias("far"), F.count("*").alias("n")).filter("far AND n > 1").select("bucket")
-        rows = rows.join(some, "bucket").groupBy("id", "bucket").agg(F.max("far").alias("far"))
-        few = MORE
+        pairs = _pairs(members.filter(~large), facts, profile, roots)
+        pairs = written(pairs, "neardup-pairs")
+        both = pairs.join(kept.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(kept.withColumnsRenamed({"id": "b", "text": "y"}), "b")
+        links.append(written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "neardup-links"))
+        # the centre of a bucket is who shares most buckets with most others: in a family of copies, their origin
+        standing = members.groupBy("id").agg(F.sum("n").alias("standing"))
+        crowded = members.filter(large).select("bucket", "id")
+        best = crowded.join(standing, "id").groupBy("bucket").agg(F.max(F.struct("standing", (-F.col("id")).alias("low"), "id"))["id"].alias("centre"))
+        # at first buckets of one centre go together
+        line = F.xxhash64("bucket", "centre") if turn else F.xxhash64("centre")
+        around = written(crowded.join(best, "bucket").select(line.alias("line"), "id", "centre").distinct(), "neardup-around")
+        dropped(members, pairs)
+        if around.isEmpty():
+            return components(reduce(DataFrame.unionByName, links))
+        both = around.join(kept.withColumnRenamed("text", "x"), "id").join(kept.withColumnsRenamed({"id": "centre", "text": "y"}), "centre")
+        apart_ = written(both.select("line", "id", "centre", "x", "y").mapInArrow(differ, "line long, id long, centre long, size double, near boolean, parts binary, weights binary"), "neardup-differences")
+        facts, least, close = _prefixes(spark, apart_, part)
+        links += [near.filter("a <> b") for near in (apart_.filter("near").select(F.col("id").alias("a"), F.col("centre").alias("b")), close)]
+        links = [written(reduce(DataFrame.unionByName, links), "neardup-links")]
+        roots = components(links[0])
+        seeking = least.filter("NOT close").select("line", "id", "next")
+        seeking = apart(seeking, "id", "next", roots).select("line", "id", F.lit(True).alias("seeks"))
+        seeking = written(seeking, "neardup-seeking")
+        rows = facts.join(seeking.select("line").distinct(), "line", "left_semi").join(seeking, ["line", "id"], "left").na.fill({"seeks": False})
+        rare = rows.select("line", "id", "seeks", F.lit(True).alias("found"), F.explode("rare").alias("bucket"))
+        rest = rows.filter("seeks").select("line", "id", "seeks", F.lit(False).alias("found"), F.explode("rest").alias("bucket"))
+        rows = rare.unionByName(rest)
+
+
+def _pairs(members: DataFrame, facts: DataFrame | None, profile: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs (a, b), a > b, of members of a bucket of which enough samples agree, in different groups by now.
+
+    With facts (of differences) only those whose maps allow the overlap that similarity takes.
+    """
+    if facts is None:
+        samples_ = members.select("id", "bucket").join(profile.select("id", *PACKED), "id")
+        other = samples_.select("bucket", *(F.col(x).alias(f"b_{x}") for x in ("id", *PACKED)))
+        return samples_.join(other, "bucket").filter("id > b_id").filter(agreeing() >= AGREE).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
+    known = members.select("line", "bucket", "id", "seeks", "found").join(facts.select("line", "id", "excess", "beyond", *MAP), ["line", "id"])
+    other = known.filter("found").select("bucket", *(F.col(x).alias(f"b_{x}") for x in ("id", "excess", "beyond", *MAP)))
+    shared = sum(F.bit_count(F.col(x).bitwiseAND(F.col(f"b_{x}"))) for x in MAP)
+    bound = shared * F.lit(UNIT) + F.least("beyond", "b_beyond")
+    found = known.filter("seeks").join(other, "bucket").filter("id <> b_id").filter(2 * bound >= F.col("excess") + F.col("b_excess") - 1e-6)
+    pairs = apart(found.select(F.greatest("id", "b_id").alias("a"), F.least("id", "b_id").alias("b")).distinct(), "a", "b", roots)
+    agree = profile.select("id", *PACKED)
+    pairs = pairs.join(agree.withColumnRenamed("id", "a"), "a").join(agree.select(F.col("id").alias("b"), *(F.col(x).alias(f"b_{x}") for x in PACKED)), "b")
+    return pairs.filter(agreeing() >= AGREE).select("a", "b")
+
+
+def _prefixes(spark, differences: DataFrame, part: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the next round takes from the differences of lines.
+
+    Facts: line, id, excess (x), map of the difference (and the weight beyond UNIT on its places), keys of the rarest
+    parts (rare) and of the rest.  Then line, id, next (the member next to the
+    line's template), close (similar to it for sure); and these sure links.
+    """
+    key = lambda line, f: B.mix(f ^ B.mix(line))
+
+    def opened(batch, k: int):
+        """Parts and weights of rows, one after another, and how many each row has."""
+        n = np.array([len(x.as_buffer()) // 8 for x in batch.column(k)], np.int64)
+        f, v = (np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(q)), kind) for q, kind in ((k, "<u8"), (k + 1, "<f8")))
+        return f, v, n
+
+    def keys(batch):
+        f, _, n = opened(batch, 1)
+        yield key(np.repeat(batch.column(0).to_numpy().view(np.uint64), n), f)
+
+    counts = sketch(differences.select("line", "parts", "weights"), keys, SKETCH)
+    often = spark.sparkContext.broadcast(counts.astype(np.float32))  # never too small
+    per = differences.groupBy("line").agg(F.count("*").alias("n"))
+    per = small_or_shuffled(written(per, "neardup-lines"))
+
+    def common(batches):
+        for batch in batches:
+            f, v, n = opened(batch, 2)
+            line, of = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+            hit = np.flatnonzero(often.value[(key(line.view(np.uint64), f) >> np.uint64(64 - SKETCH)).astype(np.int64)] > 0.5 * of)
+            _, first, times = np.unique(key(line[hit].view(np.uint64), f[hit]), return_index=True, return_counts=True)
+            hit = hit[first]
+            yield pa.RecordBatch.from_arrays([pa.array(line[hit]), pa.array(f[hit].view(np.int64)), pa.array(v[hit]), pa.array(times)], ["line", "f", "v", "times"])
+
+    # the sketch names what may be common; whether it is, is counted
+    template = differences.join(per, "line").select("line", "n", "parts", "weights").mapInArrow(common, "line long, f long, v double, times long")
+    template = template.groupBy("line", "f").agg(F.min("v").alias("v"), F.sum("times").alias("times")).join(per, "line").filter("times > 0.5 * n")
+    template = template.groupBy("line").agg(F.collect_list(F.struct("f", "v", "times")).alias("t"))
+    template = written(template.select("line", F.col("t.f").alias("tf"), F.col("t.v").alias("tv"), F.col("t.times").alias("tt")).join(per, "line", "right"), "neardup-templates")
+
+    def adjust(batches):
+        """Differences from the template, rarest parts first."""
+        for batch in batches:
+            f, v, n = opened(batch, 7)
+            line, size, of = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            edges, out = np.append(0, np.cumsum(n)), []
+            for k in range(batch.num_rows):
+                own, w = f[edges[k] : edges[k + 1]], v[edges[k] : edges[k + 1]]
+                rarity = often.value[(key(line[k : k + 1].view(np.uint64), own) >> np.uint64(64 - SKETCH)).astype(np.int64)]
+                t, tw, there = (batch.column(q)[k].values for q in (4, 5, 6))
+                if t is not None and len(t):
+                    t, tw, there = t.to_numpy().view(np.uint64), tw.to_numpy(), there.to_numpy()
+                    names, at = np.unique(np.concatenate([own, t]), return_inverse=True)
+                    more = np.bincount(at, np.concatenate([w, -tw]), len(names))
+                    seldom = np.zeros(len(names))
+                    seldom[at] = np.concatenate([rarity, there])
+                    some = np.abs(more) > 1e-9
+                    names, more, seldom = names[some], more[some], seldom[some]
+                    own, w, rarity = np.where(more > 0, names, B.mix(names ^ np.uint64(1))), np.abs(more), np.where(more > 0, seldom, np.maximum(of[k] - seldom, 0))
+                order = np.lexsort((own, rarity))
+                own, w = own[order], w[order]
+                out.append((float(w.sum()) - part * size[k], own.astype("<u8").tobytes(), w.astype("<f8").tobytes(), (rarity[order] > 1.5).tobytes()))
+            kinds = [pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+            made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["line", "id", "excess", "parts", "weights", "shared"])
+
+    marks = differences.join(small_or_shuffled(template), "line").select("line", "id", "size", "n", "tf", "tv", "tt", "parts", "weights")
+    marks = written(marks.mapInArrow(adjust, "line long, id long, excess double, parts binary, weights binary, shared binary"), "neardup-marks")
+    least = marks.groupBy("line").agg(F.min(F.struct("excess", "id")).alias("m")).select("line", F.col("m.excess").alias("least"), F.col("m.id").alias("next"))
+    least = small_or_shuffled(written(least, "neardup-least"))
+    marks = marks.join(least, "line")
+
+    def cut(batches):
+        for batch in batches:
+            f, w, n = opened(batch, 4)
+            line, excess, low = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            edges, maps, beyond, rare, rest = np.append(0, np.cumsum(n)), np.zeros((len(n), 64 * len(MAP)), np.uint8), np.zeros(len(n)), [], []
+            for k in range(len(n)):
+                own, mine = f[edges[k] : edges[k + 1]], w[edges[k] : edges[k + 1]]
+                weight = np.bincount((B.mix(own) >> np.uint64(55)).astype(np.int64), mine, maps.shape[1])
+                maps[k], beyond[k] = weight > 0, np.maximum(weight - UNIT, 0).sum()
+                need = (excess[k] + abs(low[k])) / 2
+                left = np.cumsum(mine[::-1])[::-1]  # weight from each part on
+                upto = int((left > need * (1 + 1e-9) if low[k] <= 0 else left > need - 1e-6).sum())
+                names = key(line[k : k + 1].view(np.uint64), own).view(np.int64)
+                some = np.frombuffer(batch.column(6)[k].as_buffer(), bool)  # a part that one member has alone is no bucket
+                rare.append(names[:upto][some[:upto]])
+                rest.append(names[upto:][some[upto:]])
+            words = np.packbits(maps, axis=1).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in z])), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *z]))) for z in (rare, rest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(beyond), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(MAP))), *lists], ["line", "id", "excess", "beyond", *MAP, "rare", "rest"])
+
+    facts = marks.select("line", "id", "excess", "least", "parts", "weights", "shared").mapInArrow(cut, "line long, id long, excess double, beyond double, " + ", ".join(f"{x} long" for x in MAP) + ", rare array<long>, rest array<long>")
+    near = marks.select("line", "id", "next", (F.col("excess") + F.col("least") <= 0).alias("close"))
+    return written(facts, "neardup-facts"), near, near.filter("close").select(F.col("id").alias("a"), F.col("next").alias("b"))
 
 
 def agreeing():
