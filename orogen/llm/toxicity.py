@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from orogen.llm import bytework as B
+from orogen.llm.cluster import dropped, written
 
-#: Hash buckets of terms, terms that the machine keeps, and length of a term's vector.
+#: Hash buckets of terms, terms that the machine keeps at most, and length of a term's vector.  More terms fit the
+#: sample, not the task: on 4,270 held-out rows 4,096 gave an area under the curve of 0.995, 65,000 gave 0.92 to 0.98.
 BITS, TERMS, RANK = 18, 4096, 8
+#: Rows of the sample that a term must be in to be kept.
+LEAST = 3
 #: Rows of each class that the machine is fitted on at most (chosen by a hash of the id).
 TOXIC, CLEAN = 8_000, 16_000
 
@@ -48,33 +52,21 @@ def buckets(texts: pa.Array):
         yield i, j, (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, terms: int = TERMS, rank: int = RANK, epochs: int = 12) -> Machine:
-    """Fits a machine to the distinct buckets of each row; ``prior`` is the share of label 1 among all labelled rows.
+def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, place: np.ndarray, rank: int = RANK, epochs: int = 12) -> Machine:
+    """Fits a machine to rows of distinct kept terms; ``prior`` is the share of label 1 among all labelled rows.
 
-    Terms are those with the largest chi-squared statistic in at least three rows.  Adam on the log
-    loss with weight decay; the seed is fixed.  Classes are fitted as sampled and the bias is moved
-    to the prior afterwards.
+    ``place`` has the number of each bucket's term (-1: none).  Adam on the log loss with weight decay;
+    the seed is fixed.  Classes are fitted as sampled and the bias is moved to the prior afterwards.
     """
-    place = np.full(1 << BITS, -1, np.int32)
     share = y.mean() if len(y) else 0.0
+    n = max(1, int(place.max()) + 1)
     if not 0 < share < 1:
         bias = -30.0 if share == 0 else 30.0
-        return Machine(place, np.zeros(1, np.float32), np.zeros((1, rank), np.float32), bias)
-    lengths = np.array([len(r) for r in rows])
-    owner, term = np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows)
-    total = np.bincount(term, minlength=1 << BITS).astype(float)
-    hit = np.bincount(term, y[owner], 1 << BITS)
-    expected = total * share
-    chi = np.where(total >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:terms]
-    best = best[chi[best] > 0]
-    place[best] = np.arange(len(best))
-    kept = place[term] >= 0
-    owner, term = owner[kept], place[term[kept]]
-    begin = np.searchsorted(owner, np.arange(len(rows) + 1))
+        return Machine(place, np.zeros(n, np.float32), np.zeros((n, rank), np.float32), bias)
+    begin = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    term = np.concatenate(rows)
     rng = np.random.default_rng(11)
-    n = max(1, len(best))
-    theta = np.zeros((n, rank + 1))
+    theta = np.zeros((n, rank + 1), np.float32)
     theta[:, 1:] = rng.normal(0, 0.02, (n, rank))
     bias, first, second = np.log(share / (1 - share)), np.zeros_like(theta), np.zeros_like(theta)
     step, size = 0, 256
@@ -86,60 +78,98 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, terms: int = TERMS,
             ids = term[B.ranges(begin[chosen], count)]
             rows_ = np.repeat(np.arange(len(chosen)), count)
             part = theta[ids]
-            sums = np.stack([np.bincount(rows_, part[:, k], len(chosen)) for k in range(rank + 1)], axis=1)
+            sums = np.stack([np.bincount(rows_, part[:, k], len(chosen)) for k in range(rank + 1)], axis=1).astype(np.float32)
             square = np.bincount(rows_, (part[:, 1:] ** 2).sum(axis=1), len(chosen))
             x = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - square)
-            miss = (1 / (1 + np.exp(-np.clip(x, -60, 60))) - y[chosen]) / len(chosen)
+            miss = ((1 / (1 + np.exp(-np.clip(x, -60, 60))) - y[chosen]) / len(chosen)).astype(np.float32)
             slope = np.empty_like(part)
             slope[:, 0] = 1
             slope[:, 1:] = sums[rows_, 1:] - part[:, 1:]
             slope *= miss[rows_, None]
-            grad = np.stack([np.bincount(ids, slope[:, k], n) for k in range(rank + 1)], axis=1) + 1e-5 * theta
+            grad = np.stack([np.bincount(ids, slope[:, k], n) for k in range(rank + 1)], axis=1).astype(np.float32)
+            grad += np.float32(1e-5) * theta
             step += 1
-            first = 0.9 * first + 0.1 * grad
-            second = 0.999 * second + 0.001 * grad**2
+            first += np.float32(0.1) * (grad - first)
+            second += np.float32(0.001) * (grad * grad - second)
             rate = 0.05 * (1 - epoch / epochs)
-            theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            bias -= rate * miss.sum()
+            theta -= np.float32(rate / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+            bias -= rate * float(miss.sum())
     bias += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return Machine(place, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32), float(bias))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", held_out=None, toxic: int = TOXIC, clean: int = CLEAN) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", held_out=None, toxic: int = TOXIC, clean: int = CLEAN, terms: int = TERMS) -> Machine:
     """Fits a machine to at most ``toxic`` + ``clean`` labelled rows, those with the smallest hashes of their id.
 
+    Terms are those in LEAST sampled rows at least, by chi-squared the first ``terms`` (ties to the smaller bucket).
+    They are counted on the executors; the driver gets a list of kept terms, two bytes each, of each sampled row.
     ``held_out`` is a condition on the id; rows that meet it are never learnt from.  Null ids, labels
-    and labels other than 0 and 1 are passed over.  Without labels of both classes every score is
-    that of the class there is (0 if none).
+    and labels other than 0 and 1 are passed over; rows that repeat an id count up to the same bound.  Without
+    labels of both classes every score is that of the class there is (0 if none).
     """
+    if not 0 < terms <= 1 << 16:
+        raise ValueError("terms must be 65,536 at most")
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
     if held_out is not None:
         known = known.filter(~held_out(F.col("id")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for y, most in ((1, toxic), (0, clean)):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64(F.col("id"), F.lit("fit")), "id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    draw, bounds = F.xxhash64(F.col("id"), F.lit("fit")), ((1, toxic), (0, clean))
+    chosen = [known.filter(F.col("y") == y).orderBy(draw, "id").limit(most) for y, most in bounds]
 
     def hashed(batches):
         for batch in batches:
             out = [None] * batch.num_rows
-            for i, j, rows, terms in buckets(batch.column(1)):
+            for i, j, rows, found in buckets(batch.column(2)):
                 edges = np.searchsorted(rows, np.arange(j - i + 1))
                 for k in range(j - i):
-                    out[i + k] = terms[edges[k] : edges[k + 1]].astype("<u4").tobytes()
+                    out[i + k] = found[edges[k] : edges[k + 1]].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "terms"])
+
+    kind = known.schema["id"].dataType.simpleString()
+    # chosen has at most toxic + clean rows of two numbers
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("id", "y", "text")
+    rows = written(rows.mapInArrow(hashed, f"id {kind}, y int, terms binary"), "toxicity-sample")
+    sample = [rows.filter(F.col("y") == y).orderBy(draw, "id", F.xxhash64("terms")).limit(most) for y, most in bounds]
+    sample = written(sample[0].unionByName(sample[1]).select("y", "terms"), "toxicity-rows")
+
+    def count(batches):
+        total = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            for k in range(batch.num_rows):
+                total[y[k], np.frombuffer(batch.column(1)[k].as_buffer(), "<u4")] += 1
+        some = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], ["term", "clean", "toxic"])
+
+    per = sample.mapInArrow(count, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    expected = (F.col("clean") + F.col("toxic")) * F.lit(share)
+    chi = F.pow(F.col("toxic") - expected, F.lit(2.0)) / F.greatest(expected * (1 - share), F.lit(1e-9))
+    best = [r["term"] for r in per.filter(F.col("clean") + F.col("toxic") >= LEAST).orderBy(chi.desc(), "term").limit(terms).select("term").collect()]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[best] = np.arange(len(best))
+    held = docs.sparkSession.sparkContext.broadcast(place)
+
+    def kept(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                own = held.value[np.frombuffer(batch.column(1)[k].as_buffer(), "<u4")]
+                out.append(np.sort(own[own >= 0]).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "terms"])
 
-    # at most toxic + clean rows of two numbers
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("y", "text", "id")
-    rows = rows.select("y", "text").mapInArrow(hashed, "y int, terms binary").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["terms"])))
+    found = sample.mapInArrow(kept, "y int, terms binary").collect()
+    found.sort(key=lambda r: (r["y"], bytes(r["terms"])))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float), prior)
+    machine = fit([np.frombuffer(r["terms"], "<u2") for r in found], np.array([r["y"] for r in found], np.float32), prior, place)
+    held.destroy()
+    dropped(rows, sample)
+    return machine
 
 
-def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5) to the rows of docs.
+def score(docs: DataFrame, machine: Machine, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds a score (0 to 1) and a prediction (1 from 0.5), under ``names``, to the rows of docs.
 
     Whole texts count; null and empty texts get the score of a text without known terms.  Columns of
     docs with these names are replaced; rows and their number stay as they are.
@@ -150,13 +180,12 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
         m = held.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for i, j, rows, terms in buckets(batch.column(batch.schema.get_field_index("__text"))):
+            for i, j, rows, terms in buckets(batch.column(batch.num_columns - 1)):
                 terms = m.place[terms]
                 known = terms >= 0
                 out[i:j] = m.score(rows[known], terms[known], j - i)
-            keep = batch.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*keep.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], *names])
 
-    rows = docs.drop("score", "predicted")
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return rows.withColumn("__text", F.col(text).cast("string")).mapInArrow(part, schema)
+    rows = docs.drop(*names)
+    schema = StructType([*rows.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    return rows.select("*", F.col(text).cast("string").alias("__scored_text")).mapInArrow(part, schema)

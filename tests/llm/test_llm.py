@@ -201,8 +201,14 @@ def test_pairs_count_in_the_machine():
         a, b = rng.integers(0, 2, 2)
         rows.append(np.sort(np.array([1] * a + [2] * b + [int(rng.integers(3, 60))])))
         y.append(float(a and b))
-    m = toxicity.fit(rows, np.array(y), float(np.mean(y)), epochs=30)
+    place = np.full(1 << toxicity.BITS, -1, np.int32)
+    place[:60] = np.arange(60)
+    m = toxicity.fit(rows, np.array(y), float(np.mean(y)), place, epochs=30)
     at = lambda *t: float(m.score(np.zeros(len(t), int), m.place[np.array(t)], 1)[0])
+    x = [0, 1, 2, 17]
+    pairs = sum(float(m.vector[a] @ m.vector[b]) for i, a in enumerate(x) for b in x[:i])
+    plain = 1 / (1 + math.exp(-(m.bias + float(m.weight[x].sum()) + pairs)))
+    assert m.score(np.zeros(4, int), np.array(x), 1)[0] == pytest.approx(plain, abs=1e-5)
     assert at(1, 2) > 0.8 and at(1) < 0.5 and at(2) < 0.5
 
 
