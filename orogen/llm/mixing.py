@@ -54,30 +54,30 @@ def copies(rate: Column, id: Column, seed: str) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: bool = False, mark: str = "") -> DataFrame:
     """Copies of each document: id, size (words), source_size, target (of its source), copies, taken.
 
-    ``keep`` retains the columns of docs beside these.  Null sources are one source; null texts and
-    sources without words have size 0, target 0 and are taken 0 times; an empty table gives an empty
-    result; repeated rows each count.  Columns of docs named like a result are replaced.
+    ``keep`` retains the columns of docs beside these, whose names begin with ``mark``.  Null sources are one
+    source; null texts and sources without words have size 0, target 0 and are taken 0 times; an empty table gives
+    an empty result; repeated rows each count.  Columns of docs named like a result are replaced.
     """
-    made = ["size", "source_size", "target", "copies", "taken"]
+    size, source_size, target, made_copies, taken = made = [mark + x for x in ("size", "source_size", "target", "copies", "taken")]
     base = docs if keep else docs.select(id, text, source)
     base = base.drop(*(c for c in made if c in base.columns and c not in (id, text, source)))
-    sized = base.withColumn("size", word_count(F.col(text)))
-    sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    sized = base.withColumn(size, word_count(F.col(text)))
+    sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
     aims = written(targets(sizes, weights, share, most), "mixing-targets")
-    aims = small(aims).withColumnRenamed("source", "__source")
+    aims = small(aims).select(F.col("source").alias("__source"), F.col("source_size").alias(source_size), F.col("target").alias(target))
     joined = sized.join(aims, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    out = joined.withColumn("copies", copies(rate, F.col(id), seed)).withColumn("taken", F.col("size") * F.col("copies"))
+    rate = F.coalesce(F.try_divide(target, F.col(source_size).cast("double")), F.lit(0.0))
+    out = joined.withColumn(made_copies, copies(rate, F.col(id), seed)).withColumn(taken, F.col(size) * F.col(made_copies))
     return out if keep else out.select(id, *made)
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    mixed = mix(docs, keep=True, **options)
-    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs as they are."""
+    mixed = mix(docs, keep=True, mark="__mix_", **options)
+    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int"))))
     return repeated.select(*docs.columns)
 
 
