@@ -1,23 +1,28 @@
 """n-gram language model scores from Elias-Fano tries.
 
-Counting.  All words, bigrams and trigrams of the training texts count, however rare.  Texts are cut
-into blocks of about BLOCK tokens.  A block sends its distinct n-grams, as hashes of 56 bits with
-their counts, to shards by ranges of the hash, whose number follows the corpus.  A shard adds up what
-the blocks sent and tells each block the totals of its own n-grams.  It also names one block that holds
-an n-gram, so that blocks can count the different continuations of a context without counting one
-twice; a second exchange of this kind adds these up where a context is in several blocks.  A hot n-gram is one entry a block.
-
-Probabilities.  Unigrams are add-one estimates from exact counts.  Higher orders interpolate:
-P(w | c) = max(count - D, 0) / count(c) + share(c) * P(w | shorter c), where share(c) = D * different
-continuations of c / count(c), the mass that the discounts leave; it sums to one.
-
-Trie.  Each block gets the part of the model that its texts can ask for, as a trie: word ids below a
-context, ascending, stored as one monotone Elias-Fano sequence (context number * words + id: low bits
-packed, high bits unary).  A block's trie has at most as many entries a level as the block has tokens.
+Counting.  All words and bigrams of the training texts count, however rare.  Texts are cut into blocks of
+about BLOCK tokens.  A block sends its distinct words with their counts to shards by ranges of their hash, whose number
+follows the corpus; a shard adds up what the blocks sent, numbers its words and tells each block the totals and numbers of
+its own.  Then blocks send their distinct bigrams, as numbers, to shards by the hash of the context; those of a context
+that comes more than SHARD times are spread by the next word too.  A hot word or bigram is one entry a block.
+
+Trie.  A shard builds the trie of its contexts.  First level: context numbers, ascending, with pointers to where the next
+words of each begin, both monotone Elias-Fano sequences, and the number of different next words.  Second level: the
+numbers of next words, ascending within a context, as one monotone sequence (context's place * words + word), and their
+discounted probabilities in 16 bits, log-spaced.  The levels are mapped from a file without a name that goes with the task.
+A block's bigrams are looked up there: the context by successor search in the first level, its pointers, and the next word
+by successor search between them.
+
+Probabilities.  Words are add-one estimates from exact counts.  Bigrams interpolate: P(w | c) = (count - D) / count(c)
+(nothing if unseen) + share(c) * P(w), where share(c) = D * different next words of c / count(c) is the mass
+that the discounts leave; but for the rounding of the stored part it sums to one.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,158 +30,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm import bytework as B
-from orogen.llm.cluster import written
+from orogen.llm.cluster import dropped, written
 
-#: Smallest share of all tokens of a word in the trie: all enter.  Bits of a word in the codes of build().
-EPSILON, WIDTH = 0.0, 21
 DISCOUNT = 0.75
 #: Tokens of a block, and tokens for each shard, about.
-BLOCK, SHARD = 500_000, 1_500_000
-#: The hash that stands for the end of a text.
-END = int(B.hashes(np.frombuffer(b"\0end", np.uint8), np.array([0]), np.array([4]))[0])
-#: The hash that stands for the beginning of a text.
-BEGIN = int(B.hashes(np.frombuffer(b"\0begin", np.uint8), np.array([0]), np.array([6]))[0])
-
-_ODD = np.random.default_rng(8).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BLOCK, SHARD = 250_000, 1_500_000
+#: The hash that stands for the end of a text; those of words are larger.  Its number, among numbers of words; 0 is the beginning.
+END, END_NUMBER = 1, 1
+#: Steps of a stored probability to a power of ten.
+STEPS = 4096
 
 
 class EliasFano:
-    """A monotone sequence: low bits in the narrowest integers that hold them, high bits in unary.
+    """A monotone sequence in packed bits: low bits one after another, high bits in unary.
 
-    The unary part is kept as packed bits; the directory of its zeros (where each high value begins)
-    is rebuilt when the sequence is opened.
+    Beside them stands, for each 64 bits of the unary part, how many entries come before.
     """
 
-    def __init__(self, low: np.ndarray, unary: np.ndarray, n: int, shift: int):
-        self.low, self.n, self.shift = low, n, shift
-        bits = np.unpackbits(unary, count=None)
-        zeros = np.flatnonzero(bits == 0)
-        self.begin = np.concatenate(([0], zeros - np.arange(len(zeros)))).astype(np.int64)  # first place of each high value
+    def __init__(self, raw: np.ndarray):
+        self.n, self.shift, words, self.universe, size = (int(x) for x in raw[:40].view(np.int64))
+        self.high = raw[40 : 40 + 8 * words].view(np.uint64)
+        self.before = raw[40 + 8 * words : 40 + 16 * words].view(np.int64)
+        low = raw[40 + 16 * words : size]
+        self.low = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # the eight bytes that begin at each byte
+        self.size = size
 
     @staticmethod
-    def parts(values: np.ndarray, universe: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Low bits, packed unary high bits, number of low bits."""
-        n = len(values)
-        shift = int(np.clip(np.floor(np.log2(max(1, universe // max(1, n)))), 0, 32))
-        kind = np.uint8 if shift <= 8 else np.uint16 if shift <= 16 else np.uint32
-        high = (values >> shift).astype(np.int64)
-        bits = np.zeros(n + (universe >> shift) + 1, np.uint8)
-        bits[high + np.arange(n)] = 1
-        return (values & ((1 << shift) - 1)).astype(kind), np.packbits(bits), shift
+    def stored(values: np.ndarray, universe: int) -> bytes:
+        """The bytes of ascending values below the universe."""
+        n, values = len(values), values.astype(np.uint64)
+        shift = min(48, max(0, (universe // max(1, n)).bit_length() - 1))
+        bits = np.zeros(-(-(n + (universe >> shift) + 1) // 64) * 64, np.uint8)
+        bits[(values >> np.uint64(shift)).astype(np.int64) + np.arange(n)] = 1
+        high = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.bitwise_count(high).astype(np.int64)
+        low = np.unpackbits(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :shift]
+        low = np.packbits(low.ravel(), bitorder="little").tobytes()
+        low += b"\0" * (8 + -len(low) % 8)
+        head = np.array([n, shift, len(high), universe, 40 + 16 * len(high) + len(low)], np.int64)
+        return head.tobytes() + high.tobytes() + (np.cumsum(ones) - ones).tobytes() + low
+
+    def _low(self, place: np.ndarray) -> np.ndarray:
+        at = place.astype(np.int64) * self.shift
+        return self.low[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.shift) - 1)
 
     def get(self, place: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.begin, place, "right") - 1
-        return (high.astype(np.int64) << self.shift) | self.low[place].astype(np.int64)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """Places of values, -1 where the successor is another value."""
-        high = np.minimum(value >> self.shift, len(self.begin) - 2)
-        at, end = self.begin[high], np.minimum(self.begin[high + 1], self.n)
-        low, out = value & ((1 << self.shift) - 1), np.full(len(value), -1, np.int64)
-        left = np.flatnonzero(at < end)
-        while len(left):  # successor search within the few entries that share the high part
-            mine = self.low[at[left]].astype(np.int64)
-            hit = mine == low[left]
-            out[left[hit]] = at[left[hit]]
-            left = left[mine < low[left]]
-            at[left] += 1
-            left = left[at[left] < end[left]]
+        word = np.searchsorted(self.before, place, "right") - 1
+        high = 64 * word + _nth(self.high[word], place - self.before[word]) - place
+        return high << self.shift | self._low(place).astype(np.int64)
+
+    def find(self, value: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+        """Places of values among those from begin to end, -1 where the successor is another value."""
+        out = np.full(len(value), -1, np.int64)
+        inside = (value >= 0) & (value < self.universe)
+        value = np.where(inside, value, 0)
+        high = value >> self.shift
+        at = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1 - high, 0)
+        stop = self._zero(high) - high
+        at, stop = np.maximum(at, begin), np.where(inside, np.minimum(stop, self.n if end is None else end), 0)
+        low = (value & ((1 << self.shift) - 1)).astype(np.uint64)
+        last = stop.copy()
+        left = np.flatnonzero(at < stop)
+        while len(left):  # successor search among the entries that share the high part, whose low bits ascend
+            middle = (at[left] + stop[left]) >> 1
+            less = self._low(middle) < low[left]
+            at[left] = np.where(less, middle + 1, at[left])
+            stop[left] = np.where(less, stop[left], middle)
+            left = left[at[left] < stop[left]]
+        there = np.flatnonzero(at < last)
+        there = there[self._low(at[there]) == low[there]]
+        out[there] = at[there]
         return out
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Places of the zeros with these numbers in the unary part."""
+        zeros = 64 * np.arange(len(self.before)) - self.before
+        word = np.searchsorted(zeros, k, "right") - 1
+        return 64 * word + _nth(~self.high[word], k - zeros[word])
 
-class Trie:
-    """Levels of n-grams up to three words, opened from bytes."""
 
-    NAMES = ("keys", "uni", "low2", "high2", "p2", "bow1", "low3", "high3", "p3", "bow2")
+def _nth(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the set bit with number k in each word."""
+    words, k, out = words.copy(), k.astype(np.int64), np.zeros(len(words), np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = words & np.uint64((1 << width) - 1)
+        ones = np.bitwise_count(low).astype(np.int64)
+        up = k >= ones
+        k, out = k - np.where(up, ones, 0), out + np.where(up, width, 0)
+        words = np.where(up, words >> np.uint64(width), low)
+    return out
+
+
+class Trie:
+    """Contexts, pointers, numbers of next words; next words and their stored probabilities."""
 
     def __init__(self, raw: np.ndarray):
-        sizes = np.frombuffer(raw[: 8 * 20], np.int64)
-        self.N, self.V, self.words, self.n2, self.n3, self.shift2, self.shift3 = (int(x) for x in sizes[:7])
-        at, part = 8 * 20, {}
-        for name, size in zip(self.NAMES, sizes[7 : 7 + len(self.NAMES)], strict=True):
-            part[name] = raw[at : at + size]
-            at += -(-int(size) // 8) * 8
-        low = lambda x, shift: x.view(np.uint8 if shift <= 8 else np.uint16 if shift <= 16 else np.uint32)
-        self.keys = part["keys"].view(np.uint64)  # word hashes, ascending; the id is the place
-        self.uni = part["uni"].view(np.int64)
-        self.e2 = EliasFano(low(part["low2"], self.shift2), part["high2"], self.n2, self.shift2)
-        self.e3 = EliasFano(low(part["low3"], self.shift3), part["high3"], self.n3, self.shift3)
-        self.p2, self.p3, self.bow1, self.bow2 = (part[x].view(np.float32) for x in ("p2", "p3", "bow1", "bow2"))
-        self.log_uni = np.log10((self.uni + 1) / (self.N + self.V + 1))
-
-    def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each token; for words that are not kept only the share that is left to the unigram.
-
-        ``first`` marks the first token of each text; its context is the beginning of a text.
-        """
-        begin = self.words  # context number of the beginning
-        one = np.empty(len(ids), np.int64)
-        one[1:] = ids[:-1]
-        one[first] = begin
-        two = np.empty(len(ids), np.int64)
-        two[2:] = one[1:-1]
-        two[:2] = -1
-        two[first] = -1
-        out = np.where(ids >= 0, self.log_uni[np.maximum(ids, 0)] if self.words else 0.0, 0.0)
-        had = one >= 0
-        out[had] += self.bow1[one[had]]
-        pair = np.full(len(ids), -1, np.int64)  # places of (one, word)
-        ask = np.flatnonzero(had & (ids >= 0))
-        pair[ask] = self.e2.find(one[ask] * self.words + ids[ask])
-        hit = np.flatnonzero(pair >= 0)
-        out[hit] = self.p2[pair[hit]]
-        context = np.full(len(ids), -1, np.int64)  # places of (two, one)
-        context[1:] = pair[:-1]
-        context[first] = -1
-        had = np.flatnonzero(context >= 0)
-        shorter = out[had] + self.bow2[context[had]]
-        out[had] = shorter
-        ask = had[ids[had] >= 0]
-        found = self.e3.find(context[ask] * self.words + ids[ask])
-        out[ask[found >= 0]] = self.p3[found[found >= 0]]
-        return out
+        parts, at = [], 8
+        for _ in range(3):
+            parts.append(EliasFano(raw[at:]))
+            at += parts[-1].size
+        self.contexts, self.pointers, self.next = parts
+        self.words = int(raw[:8].view(np.int64)[0])
+        self.continuations = raw[at : at + 4 * self.contexts.n].view(np.uint32)
+        at += 4 * self.contexts.n
+        self.codes = raw[at : at + 2 * self.next.n].view(np.uint16)
 
+    @staticmethod
+    def stored(context: np.ndarray, word: np.ndarray, share: np.ndarray) -> bytes:
+        """The bytes of bigrams, ascending, whose discounted probabilities are ``share``."""
+        contexts, first, different = np.unique(context, return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(contexts)), different)
+        words = int(word.max(initial=0)) + 1
+        pointers = np.append(first, len(word))
+        parts = EliasFano.stored(contexts, int(contexts.max(initial=0)) + 1), EliasFano.stored(pointers, len(word) + 1), EliasFano.stored(place * words + word, max(1, len(contexts) * words))
+        return np.int64(words).tobytes() + b"".join(parts) + different.astype(np.uint32).tobytes() + quantised(share).tobytes()
 
-def build(keys: np.ndarray, counts: np.ndarray, N: int, V: int, docs: int, two: tuple, three: tuple) -> bytes:
-    """The trie's bytes from kept words (hashes ascending, counts), bigrams and trigrams (codes ascending, counts)."""
-    words = len(keys)
-    mask = (1 << WIDTH) - 1
-    c2, n2 = two
-    context, word = (c2 >> WIDTH).astype(np.int64), (c2 & mask).astype(np.int64)
-    total = np.append(counts, docs).astype(float)  # how often each context has a next token
-    left = np.maximum(n2 - DISCOUNT, 0) / total[context] if len(c2) else np.zeros(0)
-    share1 = 1 - np.bincount(context, left, words + 1)
-    c3, n3 = three
-    place = np.searchsorted(c2, c3 >> WIDTH)
-    left3 = np.maximum(n3 - DISCOUNT, 0) / n2[place] if len(c3) else np.zeros(0)
-    share2 = 1 - np.bincount(place, left3, len(c2))
-    return stored(keys, counts, N, V, (context, word, left, share1), (place, (c3 & mask).astype(np.int64), left3, share2))
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of contexts in the first level and of next words in the second, -1 for unknown ones."""
+        first = self.contexts.find(context)
+        second, some = np.full(len(word), -1, np.int64), np.flatnonzero((first >= 0) & (word < self.words))
+        k = first[some]
+        second[some] = self.next.find(k * self.words + word[some], self.pointers.get(k), self.pointers.get(k + 1))
+        return first, second
 
 
-def stored(keys: np.ndarray, counts: np.ndarray, N: int, V: int, two: tuple, three: tuple) -> bytes:
-    """The trie's bytes.
+def quantised(share: np.ndarray) -> np.ndarray:
+    """16 bits for a probability: 1 + the steps down from 1 (0 stands for none)."""
+    return np.clip(1 + np.round(-STEPS * np.log10(share)), 1, 65_535).astype(np.uint16)
 
-    ``two`` has context and word of each bigram, ascending, its discounted share of the context, and what
-    each context (the beginning last) leaves; ``three`` the same with places of bigrams as contexts.
-    """
-    words = len(keys)
-    uni = (counts + 1) / (N + V + 1)
-    context, word, left, share1 = two
-    share1 = np.clip(share1, 1e-6, 1)
-    p2 = left + share1[context] * uni[word] if len(word) else np.zeros(0)
-    place, third, left3, share2 = three
-    share2 = np.clip(share2, 1e-6, 1)
-    codes = context * words + word
-    p3 = left3 + share2[place] * p2[np.searchsorted(codes, word[place] * words + third)] if len(third) else np.zeros(0)
-    low2, high2, shift2 = EliasFano.parts(codes, (words + 1) * words)
-    low3, high3, shift3 = EliasFano.parts(place.astype(np.int64) * words + third, max(1, len(word)) * words)
-    log = [np.log10(x).astype(np.float32) for x in (p2, p3, share1, share2)]
-    parts = {"keys": keys, "uni": counts.astype(np.int64), "low2": low2, "high2": high2, "p2": log[0], "bow1": log[2], "low3": low3, "high3": high3, "p3": log[1], "bow2": log[3]}
-    parts = {k: np.ascontiguousarray(parts[k]).tobytes() for k in Trie.NAMES}
-    head = np.zeros(20, np.int64)
-    head[:7] = N, V, words, len(word), len(third), shift2, shift3
-    head[7 : 7 + len(parts)] = [len(x) for x in parts.values()]
-    return head.tobytes() + b"".join(x + b"\0" * (-len(x) % 8) for x in parts.values())
+
+def restored(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((1 - code.astype(float)) / STEPS), 0.0)
+
+
+def mapped(raw: bytes) -> np.ndarray:
+    """The bytes as pages of a file without a name in the task's temporary folder."""
+    with tempfile.TemporaryFile() as file:
+        file.write(raw)
+        file.flush()
+        return np.frombuffer(mmap.mmap(file.fileno(), len(raw), access=mmap.ACCESS_READ), np.uint8)
 
 
 def _tokens(texts: pa.Array):
@@ -186,100 +178,64 @@ def _tokens(texts: pa.Array):
         out = np.full(int(n.sum()), END, np.uint64)
         last = np.zeros(len(out), bool)
         last[np.cumsum(n) - 1] = True
-        out[~last] = h
+        out[~last] = np.maximum(h, np.uint64(END + 1))
         yield i, j, n, out
 
 
-class Grams:
-    """Distinct words, bigrams and trigrams of a block, and where its tokens find them."""
-
-    def __init__(self, words: np.ndarray, ids: np.ndarray, n: np.ndarray):
-        self.words, self.ids, self.n, self.first, W = words, ids, n, np.cumsum(n) - n, len(words)
-        one = np.empty(len(ids), np.int64)
-        one[1:] = ids[:-1]
-        one[self.first] = W  # the beginning
-        codes, self.pair = np.unique(one * W + ids, return_inverse=True)
-        self.context, self.word = codes // W, codes % W
-        inner = np.ones(len(ids), bool)
-        inner[self.first] = False
-        self.inner = np.flatnonzero(inner)
-        codes, self.triple = np.unique(self.pair[self.inner - 1] * W + ids[self.inner], return_inverse=True)
-        self.place, self.third = codes // W, codes % W
-        self.edges = np.cumsum([W, len(self.word)])
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the words and the beginning, of bigrams, of trigrams."""
-        h = np.append(self.words, np.uint64(BEGIN))
-        a, b, c = h[self.context[self.place]], h[self.word[self.place]], h[self.third]
-        two = B.mix(h[self.context] * _ODD[0] + B.mix(h[self.word] * _ODD[1]))
-        out = B.mix(h * _ODD[5]), two, B.mix(a * _ODD[2] + B.mix(b * _ODD[3] + B.mix(c * _ODD[4])))
-        return tuple(x >> np.uint64(8) for x in out)
-
-    def counts(self, taken: np.ndarray) -> np.ndarray:
-        """How often the words, bigrams and trigrams come in the texts that are ``taken``."""
-        t = np.repeat(taken, self.n).astype(float)
-        parts = (self.ids, t, len(self.words)), (self.pair, t, len(self.word)), (self.triple, t[self.inner], len(self.third))
-        return np.concatenate([np.bincount(*x) for x in parts]).astype(np.int64)
-
-
 def _packed(x: np.ndarray) -> bytes:
-    """64-bit numbers, all their first bytes first, so that bytes that hardly differ stand together, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+    """Whole numbers, all their first bytes first, so that bytes that hardly differ stand together, compressed."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(7, "little") + bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _numbers(x: pa.BinaryScalar) -> np.ndarray:
     raw = x.as_buffer()
-    n = int.from_bytes(raw[:8].to_pybytes(), "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd"), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
+    n, width = int.from_bytes(raw[:7].to_pybytes(), "little"), raw[7]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[8:], width * n, "zstd"), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
-SENT = "shard int, block long, codes binary, counts binary"
 
+def _steps(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Ascending runs, which begin at the edges, as their first values and differences."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    edges = edges[edges < len(x)]
+    out[edges] = x[edges]
+    return out
 
-def _sent(block: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
-    """What a block sends to the shards: ascending keys, as differences, and counts."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    to = _shard(keys, shards)
-    edges = np.searchsorted(to, np.arange(shards + 1))
-    some = np.flatnonzero(np.diff(edges))
-    steps = keys.copy()
-    steps[1:] -= keys[:-1]
-    steps[edges[some]] = keys[edges[some]]
-    cut = lambda x: pa.array([_packed(x[edges[s] : edges[s + 1]]) for s in some], pa.binary())
-    return pa.table([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), cut(steps), cut(counts)], ["shard", "block", "codes", "counts"])
 
+def _runs(steps: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The inverse of _steps()."""
+    total = np.cumsum(steps, dtype=np.int64)
+    length = np.diff(np.append(edges, len(steps)))
+    return total - np.repeat(total[edges] - steps[edges].astype(np.int64), length)
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(24)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
+class Pairs:
+    """Distinct bigrams of a block, from its tokens (places among its words): contexts and next words by their numbers.
 
-def _totals(sent: DataFrame) -> DataFrame:
-    """For each row of SENT the totals of its keys over all blocks, times 2; plus 1 in the one block that stands for the key."""
-
-    def add(group: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_numbers(x), dtype=np.uint64) for x in group["codes"]]
-        counts = np.concatenate([_numbers(x) for x in group["counts"]]).astype(np.int64)
-        edges = np.cumsum([0, *map(len, keys)])
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, counts, len(found)).astype(np.int64)
-        some = np.flatnonzero(counts > 0)
-        stands = np.full(len(found), -1, np.int64)
-        stands[at[some]] = some
-        out = 2 * total[at] + (stands[at] == np.arange(len(at)))
-        return pa.table([group["shard"], group["block"], pa.array([_packed(out[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["shard", "block", "totals"])
-
-    return sent.groupBy("shard").applyInArrow(add, "shard int, block long, totals binary")
-
+    ``place`` is the context's place among the words plus 1 (0 for the beginning), ``next`` that of the next word.
+    """
 
-def _answer(keys: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Totals of a block's keys from the rows of all shards, and whether the block stands for them."""
-    parts = [rows["totals"][int(k)] for k in np.argsort(rows["shard"].to_numpy())]
-    out = np.empty(len(keys), np.int64)
-    out[np.argsort(keys)] = np.concatenate([np.zeros(0, np.uint64), *(_numbers(x) for x in parts)]).astype(np.int64)
-    return out >> 1, (out & 1).astype(bool)
+    def __init__(self, ids: np.ndarray, n: np.ndarray, numbers: np.ndarray, totals: np.ndarray, shards: int):
+        one = np.empty(len(ids), np.int64)
+        one[1:] = ids[:-1] + 1
+        one[np.cumsum(n) - n] = 0
+        width = len(numbers) + 1
+        code, self.at = np.unique(one * width + ids, return_inverse=True)
+        context, word = code // width, code % width
+        # the number of the beginning is 0; it comes as often as the end does
+        self.context, self.word, self.place, self.next = np.append(0, numbers)[context], numbers[word], context, word
+        # every block has an end, whose number is the least
+        self.totals = np.append(totals[:1], totals)
+        mixed = B.mix(self.context.astype(np.uint64) + np.uint64(1))
+        spread = self.totals[context] > SHARD
+        mixed[spread] = B.mix(mixed[spread] + self.word[spread].astype(np.uint64))
+        self.shard = ((mixed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        self.order = np.argsort(self.shard, kind="stable")
 
 
 def score(docs: DataFrame, training, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -287,12 +243,14 @@ def score(docs: DataFrame, training, text: str = "text", id: str = "doc_id") ->
 
     Returns id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (add-one
     unigrams) and score.  Null texts count as empty (one token: the end); rows with a null id are held
-    out; repeated rows stay.  Without training rows every token is unknown and both scores are 0.
+    out; repeated rows stay and count as often; very long texts are one block of their own; other columns are
+    not read.  Without training rows every token is unknown and both scores are 0.
     """
+    spark = docs.sparkSession
     trained = F.coalesce(training(F.col("id")), F.lit(False))
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).select("id", "text", (~trained).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
-    kept = f"block long, size long, ids array<{kind}>, held array<boolean>, n binary, words binary, tokens binary"
+    kept = f"block long, size long, ids array<{kind}>, held array<boolean>, n binary, "
 
     def cut(batches):
         number, size, parts = TaskContext.get().partitionId() << 32, 0, []
@@ -300,7 +258,8 @@ def score(docs: DataFrame, training, text: str = "text", id: str = "doc_id") ->
         def block() -> pa.RecordBatch:
             words, ids = np.unique(np.concatenate([x[3] for x in parts]), return_inverse=True)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays([p[k] for p in parts]) for k in (0, 1))]
-            blobs = [pa.array([_packed(x)], pa.binary()) for x in (np.concatenate([x[2] for x in parts]), words, ids)]
+            steps = _steps(words, np.zeros(1, np.int64))
+            blobs = [pa.array([_packed(x)], pa.binary()) for x in (np.concatenate([x[2] for x in parts]), steps, ids)]
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(ids)]), *lists, *blobs], ["block", "size", "ids", "held", "n", "words", "tokens"])
 
         for batch in batches:
@@ -313,83 +272,160 @@ def score(docs: DataFrame, training, text: str = "text", id: str = "doc_id") ->
         if parts:
             yield block()
 
-    def read(row, k: int = 0) -> tuple[Grams, np.ndarray]:
-        n, words, tokens = (_numbers(row[x][k]) for x in ("n", "words", "tokens"))
-        return Grams(words, tokens.astype(np.int64), n.astype(np.int64)), ~np.array(row["held"][k].as_py(), bool)
-
-    blocks = written(rows.mapInArrow(cut, kept), "lm-blocks")
+    blocks = written(rows.mapInArrow(cut, kept + "words binary, tokens binary"), "lm-blocks")
     shards = max(1, -(-int(blocks.agg(F.sum("size")).first()[0] or 0) // SHARD))
 
-    def ask(batches):
+    def counts(row, k: int, ids: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+        taken = ~np.array(row["held"][k].as_py(), bool)
+        return np.bincount(ids, np.repeat(taken, n).astype(float), width).astype(np.int64)
+
+    def word_shard(words: np.ndarray) -> np.ndarray:
+        return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+    def ask_words(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n, steps, ids = (_numbers(batch[x][k]).astype(t) for x, t in (("n", np.int64), ("words", np.uint64), ("tokens", np.int64)))
+                words = np.cumsum(steps, dtype=np.uint64)
+                found = counts(batch, k, ids, n, len(words))
+                edges = np.searchsorted(word_shard(words), np.arange(shards + 1))
+                some = np.flatnonzero(np.diff(edges))
+                steps = _steps(words, edges[some])
+                blobs = [pa.array([_packed(x[edges[s] : edges[s + 1]]) for s in some], pa.binary()) for x in (steps, found)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch["block"][k].as_py())), *blobs], ["shard", "block", "words", "counts"])
+
+    def add_words(group: pa.Table) -> pa.Table:
+        """Totals of words over all blocks, times 2, plus 1 in the one block that stands for the word; and their places."""
+        keys = [np.cumsum(_numbers(x), dtype=np.uint64) for x in group["words"]]
+        found_here = np.concatenate([_numbers(x) for x in group["counts"]]).astype(np.int64)
+        edges = np.cumsum([0, *map(len, keys)])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, found_here, len(found)).astype(np.int64)
+        some = np.flatnonzero(found_here > 0)
+        stands = np.full(len(found), -1, np.int64)
+        stands[at[some]] = some
+        out = 2 * total[at] + (stands[at] == np.arange(len(at)))
+        cuts = list(zip(edges[:-1], edges[1:], strict=True))
+        return pa.table([group["shard"], group["block"], pa.array([_packed(out[i:j]) for i, j in cuts], pa.binary()), pa.array([_packed(_steps(at[i:j], np.zeros(1, np.int64))) for i, j in cuts], pa.binary())], ["shard", "block", "totals", "places"])
+
+    answers = blocks.mapInArrow(ask_words, "shard int, block long, words binary, counts binary").groupBy("shard").applyInArrow(add_words, "shard int, block long, totals binary, places binary")
+
+    def numbered(own: pa.Table, rows: pa.Table) -> pa.Table:
+        """The block's row with its words by their numbers: the end 1, others 2 + shard + shards * place."""
+        steps, ids = (_numbers(own[x][0]) for x in ("words", "tokens"))
+        order = np.argsort(rows["shard"].to_numpy())
+        shard = rows["shard"].to_numpy()[order].astype(np.int64)
+        totals = np.concatenate([np.zeros(0, np.uint64), *(_numbers(rows["totals"][int(k)]) for k in order)]).astype(np.int64)
+        numbers = np.concatenate([np.zeros(0, np.int64), *(2 + s + shards * np.cumsum(_numbers(rows["places"][int(k)]), dtype=np.int64) for k, s in zip(order, shard, strict=True))])
+        numbers[:1] = END_NUMBER  # the end has the least hash
+        by = np.argsort(numbers)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        stands, totals, numbers = (totals & 1)[by], (totals >> 1)[by], numbers[by]
+        blobs = [pa.array([_packed(x)], pa.binary()) for x in (rank[ids.astype(np.int64)], _steps(numbers, np.zeros(1, np.int64)), totals)]
+        n, taken = _numbers(own["n"][0]).astype(np.int64), ~np.array(own["held"][0].as_py(), bool)
+        sums = [pa.array([int(x)], pa.int64()) for x in (n[taken].sum(), stands.sum())]
+        names = ["block", "size", "ids", "held", "n"]
+        return pa.table([*(own[x] for x in names), *blobs, *sums], [*names, "tokens", "numbers", "totals", "trained", "different"])
+
+    known = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(numbered, kept + "tokens binary, numbers binary, totals binary, trained long, different long"), "lm-numbered")
+    dropped(blocks)
+    N, V = (int(x or 0) for x in known.agg(F.sum("trained"), F.sum("different")).first())
+
+    def read(row, k: int = 0) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
+        """Bigrams, tokens, tokens per document, totals of the words."""
+        n, ids, steps, totals = (_numbers(row[x][k]).astype(np.int64) for x in ("n", "tokens", "numbers", "totals"))
+        return Pairs(ids, n, np.cumsum(steps), totals, shards), ids, n, totals
+
+    asked = "shard int, block long, contexts binary, sizes binary, often binary, words binary, counts binary"
+
+    def ask_pairs(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                grams, taken = read(batch, k)
-                one, two, three = grams.keys()
-                yield from _sent(batch["block"][k].as_py(), np.concatenate([one[:-1], two, three]), grams.counts(taken), shards).to_batches()
-
-    answers = _totals(blocks.mapInArrow(ask, SENT))
-
-    def counted(own: pa.Table, rows: pa.Table) -> pa.Table:
-        """The block's row with the totals of its n-grams, and what it knows of the continuations of contexts."""
-        grams, taken = read(own)
-        one, two, three = grams.keys()
-        totals, stands = _answer(np.concatenate([one[:-1], two, three]), rows)
-        w, p = grams.edges
-        next1 = np.bincount(grams.context, stands[w:p], w + 1)
-        next2 = np.bincount(grams.place, stands[p:], p - w)
-        more = [pa.array([_packed(x)], pa.binary()) for x in (totals, np.concatenate([next1, next2]))]
-        numbers = [pa.array([int(x)]) for x in (grams.n[taken].sum(), stands[:w].sum())]
-        return pa.table([*own.columns, *more, *numbers], [*own.column_names, "totals", "continued", "trained", "different"])
-
-    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    counts = written(both.applyInArrow(counted, kept + ", totals binary, continued binary, trained long, different long"), "lm-counted")
-    N, V = (int(x or 0) for x in counts.agg(F.sum("trained"), F.sum("different")).first())
-    least = max(1.0, EPSILON * N)
-
-    def contexts(row, grams: Grams, taken: np.ndarray, k: int = 0) -> tuple:
-        """Totals of the n-grams; of contexts: hashes, continuations the block knows, whether others must know more.
-
-        A context that comes once has one; one that comes in no other block has no more than here.
+                pairs, ids, n, _ = read(batch, k)
+                found = counts(batch, k, pairs.at, n, len(pairs.word))
+                shard, context, word, place, found = (x[pairs.order] for x in (pairs.shard, pairs.context, pairs.word, pairs.place, found))
+                begins = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (shard[1:] != shard[:-1]))) if len(word) else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(begins, len(word)))
+                heads = np.searchsorted(shard[begins], np.arange(shards + 1))
+                edges = np.append(begins, len(word))[heads]
+                some = np.flatnonzero(np.diff(edges))
+                per_context = (_steps(context[begins], heads[some]), sizes, pairs.totals[place[begins]])
+                blobs = [pa.array([_packed(x[heads[s] : heads[s + 1]]) for s in some], pa.binary()) for x in per_context]
+                blobs += [pa.array([_packed(x[edges[s] : edges[s + 1]]) for s in some], pa.binary()) for x in (_steps(word, begins), found)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch["block"][k].as_py())), *blobs], ["shard", "block", "contexts", "sizes", "often", "words", "counts"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        """For each block the stored probabilities of its bigrams (none: 0) and how many next words its contexts have here.
+
+        A row without a block has the contexts that are spread over shards.
         """
-        one, two, _ = grams.keys()
-        w, p = grams.edges
-        end = np.searchsorted(grams.words, np.uint64(END))  # texts begin as often as they end
-        totals, local, found = _numbers(row["totals"][k]).astype(np.int64), grams.counts(taken), _numbers(row["continued"][k]).astype(np.int64)
-        all_, mine = (np.concatenate([x[:w], x[end : end + 1], x[w:p]]) for x in (totals, local))
-        return totals, np.concatenate([one, two]), found, (mine < all_) & (all_ > 1), all_
-
-    def ask_next(batches):
+        heads, often, contexts, words, found = [], [], [], [], []
+        for k in range(group.num_rows):
+            size = _numbers(group["sizes"][k]).astype(np.int64)
+            heads.append(np.cumsum(_numbers(group["contexts"][k]), dtype=np.int64))
+            often.append(_numbers(group["often"][k]).astype(np.int64))
+            contexts.append(np.repeat(heads[-1], size))
+            words.append(_runs(_numbers(group["words"][k]), np.cumsum(size) - size))
+            found.append(_numbers(group["counts"][k]).astype(np.int64))
+        context, word = np.concatenate(contexts), np.concatenate(words)
+        own, at = np.unique(np.concatenate(heads), return_index=True)
+        total = np.concatenate(often)[at]
+        next_, rank = np.unique(word, return_inverse=True)
+        code, back = np.unique(np.searchsorted(own, context) * len(next_) + rank, return_inverse=True)
+        count = np.bincount(back, np.concatenate(found), len(code))
+        width = max(1, len(next_))
+        some = count > 0
+        trie = Trie(mapped(Trie.stored(own[code[some] // width], next_[code[some] % width], (count[some] - DISCOUNT) / total[code[some] // width])))
+        _, second = trie.find(own[code // width], next_[code % width])  # each bigram once, whoever asks
+        first = trie.contexts.find(own)
+        found_codes = np.append(trie.codes, np.uint16(0))[second][back]
+        found_conts = np.append(trie.continuations, np.uint32(0))[first]
+        edges = np.cumsum([0, *map(len, words)])
+        codes = [_packed(found_codes[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        conts = [_packed(found_conts[np.searchsorted(own, h)]) for h in heads]
+        shard, block = group["shard"].to_pylist(), group["block"].to_pylist()
+        hot = np.flatnonzero(total > SHARD)
+        if len(hot):
+            shard, block = [*shard, shard[0]], [*block, None]
+            codes.append(_packed(own[hot]))
+            conts.append(_packed(found_conts[hot]))
+        return pa.table([pa.array(shard, pa.int32()), pa.array(block, pa.int64()), pa.array(codes, pa.binary()), pa.array(conts, pa.binary())], ["shard", "block", "codes", "continuations"])
+
+    answers = written(known.mapInArrow(ask_pairs, asked).groupBy("shard").applyInArrow(answer, "shard int, block long, codes binary, continuations binary"), "lm-answers")
+
+    def opened(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                _, keys, found, open_, _ = contexts(batch, *read(batch, k), k)
-                yield from _sent(batch["block"][k].as_py(), keys[open_], found[open_], shards).to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch[x][k]).astype(np.int64)) for x in ("codes", "continuations")], ["context", "n"])
 
-    answers = _totals(counts.mapInArrow(ask_next, SENT))
+    # at most one context for every SHARD tokens of the corpus
+    spread = answers.filter("block is null").select("codes", "continuations").mapInArrow(opened, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).orderBy("context").collect()
+    spread = spark.sparkContext.broadcast((np.array([r["context"] for r in spread], np.int64), np.array([r["n"] for r in spread], np.int64)))
 
     def scored(own: pa.Table, rows: pa.Table) -> pa.Table:
-        grams, taken = read(own)
-        w, p = grams.edges
-        totals, keys, found, open_, all_ = contexts(own, grams, taken)
-        next_ = np.where(all_ == 1, 1, found)
-        next_[open_] = _answer(keys[open_], rows)[0]
-        c1, c2, c3 = totals[:w], totals[w:p], totals[p:]
-        docs = c1[np.searchsorted(grams.words, np.uint64(END))]
-        known = c1 >= least
-        new = np.append(np.where(known, np.cumsum(known) - 1, -1), known.sum())  # ids in the trie
-        good2 = (c2 > 0) & known[grams.word] & np.append(known, True)[grams.context]
-        good3 = (c3 > 0) & good2[grams.place] & known[grams.third]
-        total = np.append(c1, docs).astype(float)
-        share1 = np.where(total > 0, DISCOUNT * next_[: w + 1] / np.maximum(total, 1), 1)[np.append(known, True)]
-        share2 = (DISCOUNT * next_[w + 1 :] / np.maximum(c2, 1))[good2]
-        pairs = new[grams.context[good2]], new[grams.word[good2]], (c2[good2] - DISCOUNT) / total[grams.context[good2]], share1
-        at = grams.place[good3]
-        triples = (np.cumsum(good2) - 1)[at], new[grams.third[good3]], (c3[good3] - DISCOUNT) / c2[at], share2
-        trie = Trie(np.frombuffer(stored(grams.words[known], c1[known], N, V, pairs, triples), np.uint8))
-        uni = np.log10((c1 + 1) / (N + V + 1))[grams.ids]
-        out = trie.score(new[grams.ids], grams.first) + np.where(known[grams.ids], 0.0, uni)
-        sums = [grams.n, B.sums((c1[grams.ids] > 0).astype(np.int64), grams.n), np.full(len(grams.n), N), B.sums(uni, grams.n), B.sums(out, grams.n)]
-        return pa.table([own["ids"].combine_chunks().flatten(), own["held"].combine_chunks().flatten(), *map(pa.array, sums)], names)
+        pairs, ids, n, totals = read(own)
+        order = np.argsort(rows["shard"].to_numpy())
+        codes = np.empty(len(pairs.word), np.int64)
+        codes[pairs.order] = np.concatenate([np.zeros(0, np.uint64), *(_numbers(rows["codes"][int(k)]) for k in order)]).astype(np.int64)
+        conts = np.concatenate([np.zeros(0, np.uint64), *(_numbers(rows["continuations"][int(k)]) for k in order)]).astype(np.int64)
+        context, shard = pairs.place[pairs.order], pairs.shard[pairs.order]
+        begins = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (shard[1:] != shard[:-1]))) if len(context) else np.zeros(0, np.int64)
+        different = np.zeros(len(totals) + 1, np.int64)
+        different[context[begins]] = conts
+        hot, sums = spread.value
+        if len(hot):
+            numbers = np.zeros(len(totals) + 1, np.int64)
+            numbers[pairs.place] = pairs.context
+            at = np.minimum(np.searchsorted(hot, numbers), len(hot) - 1)
+            is_hot = (hot[at] == numbers) & (pairs.totals > SHARD)
+            different[is_hot] = sums[at[is_hot]]
+        share = np.where(pairs.totals > 0, DISCOUNT * different / np.maximum(pairs.totals, 1), 1.0)
+        uni = np.log10((totals + 1) / (N + V + 1))
+        p = np.log10(restored(codes) + share[pairs.place] * 10.0 ** uni[pairs.next])
+        sums_ = [n, B.sums((totals[ids] > 0).astype(np.int64), n), np.full(len(n), N), B.sums(uni[ids], n), B.sums(p[pairs.at], n)]
+        return pa.table([own["ids"].combine_chunks().flatten(), own["held"].combine_chunks().flatten(), *map(pa.array, sums_)], names)
 
     names = [id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return counts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    return known.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(scored, schema)

@@ -232,63 +232,64 @@ def test_language_model(spark, odd, none):
     assert {r["score"] for r in lm.score(odd, lambda id: F.lit(False)).collect()} == {0.0}
 
 
-def test_rare_words_come_by_join(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    whole = {r["doc_id"]: r["base_score"] for r in lm.score(docs, lambda id: id % 3 != 0).collect()}
-    monkeypatch.setattr(lm, "EPSILON", 1e-4)
-    for r in lm.score(docs, lambda id: id % 3 != 0).collect():
-        assert r["base_score"] == pytest.approx(whole[r["doc_id"]])
-
-
-def test_rare_ngrams_count_in_large_corpora(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK", 50_000, raising=False)
+@pytest.mark.parametrize("shard", [1_500_000, 300])
+def test_language_model_is_an_interpolated_bigram(spark, monkeypatch, shard):
+    monkeypatch.setattr(lm, "BLOCK", 2_000)
+    monkeypatch.setattr(lm, "SHARD", shard)  # with 300 common words are spread over shards
     rng = np.random.default_rng(9)
-    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 5000))) for k in range(500)]
-    rows += [(1000, "so rare a phrase w1"), (1001, "w2 rare a thing"), (2000, "so rare a phrase w3"), (2001, "rare a novelty")]
-    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), lambda id: id < 2000).collect()}
-    texts = [[None, *words(t), "."] for k, t in rows if k < 2000]
-    one, two, three = Counter(), Counter(), Counter()
+    rows = [(k, " ".join(f"w{min(x, 200)}" for x in rng.zipf(1.4, int(rng.integers(0, 200))))) for k in range(100)]
+    rows += [(100, None), (101, "so rare a phrase w1"), (102, "\0end w1 \0end"), (200, "so rare a phrase w3"), (201, "rare a novelty")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, block string").repartition(4)
+    got = {r["doc_id"]: r for r in lm.score(docs, lambda id: id < 200).collect()}
+    texts = [[None, *words(t), "."] for k, t in rows if k < 200]
+    one, two = Counter(), Counter()
     for t in texts:
         one.update(t)
         two.update(zip(t, t[1:], strict=False))
-        three.update(zip(t, t[1:], t[2:], strict=False))
-    N, V, D = sum(one.values()) - len(texts), len(one) - 1, 0.75
-    assert N > 2_000_000
-    next1, next2 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+    N, V, D = sum(one.values()) - len(texts), len(one) - 1, lm.DISCOUNT
+    follow = Counter(a for a, _ in two)
 
-    def p(u, v, w):
+    def p(v, w):
         out = (one[w] + 1) / (N + V + 1)
-        if one[v]:
-            out = max(two[v, w] - D, 0) / one[v] + D * next1[v] / one[v] * out
-        if two[u, v]:
-            out = max(three[u, v, w] - D, 0) / two[u, v] + D * next2[u, v] / two[u, v] * out
-        return out
-
-    for k, t in rows[-4:] + rows[:3]:
-        t = [0, None, *words(t), "."]
-        assert got[k]["score"] == pytest.approx(sum(math.log10(p(*t[j - 2 : j + 1])) for j in range(2, len(t))), rel=1e-5)
-
-
-def test_trie_is_a_distribution():
-    keys = np.sort(np.append(bytework.mix(np.arange(1, 6, dtype=np.uint64)), np.uint64(lm.END)))
-    counts = np.array([5, 4, 3, 6, 2, 4])
-    two = (np.array([0 << 21 | 1, 0 << 21 | 2, 1 << 21 | 3, 6 << 21 | 0], np.uint64), np.array([3, 1, 4, 4]))
-    three = (np.array([0 << 42 | 1 << 21 | 3], np.uint64), np.array([3]))
-    trie = lm.Trie(np.frombuffer(lm.build(keys, counts, 24, 6, 4, two, three), np.uint8))
-    first = np.array([0])
-    for before in ([], [0], [0, 1], [4]):
-        total = sum(10 ** trie.score(np.array([*before, w]), first)[-1] for w in range(6))
-        assert total == pytest.approx(1 - 1 / 31 * 10 ** (trie.score(np.array([*before, -1]), first)[-1]), abs=0.02)
+        return max(two[v, w] - D, 0) / one[v] + D * follow[v] / one[v] * out if one[v] else out
+
+    for k, t in rows:
+        t = [None, *words(t), "."]
+        assert got[k]["train_tokens"] == N and got[k]["held_out"] == (k >= 200)
+        assert got[k]["base_score"] == pytest.approx(sum(math.log10((one[w] + 1) / (N + V + 1)) for w in t[1:]))
+        assert got[k]["score"] == pytest.approx(sum(math.log10(p(*x)) for x in zip(t, t[1:], strict=False)), abs=2.5e-4 * len(t))
+
+
+def test_end_of_text_is_no_word(spark):
+    docs = spark.createDataFrame([(k, "\0end a") for k in range(20)], "doc_id long, text string")
+    got = lm.score(docs, lambda id: F.lit(True)).first()
+    assert got["base_score"] == pytest.approx(3 * math.log10(21 / 64)) and got["n_known"] == got["n_tokens"] == 3
+
+
+def test_trie_finds_its_bigrams():
+    rng = np.random.default_rng(3)
+    code = np.unique(rng.integers(0, 50 * 1000, 4000))
+    context, word = 7 * (code // 1000), code % 1000
+    share = rng.uniform(1e-6, 1, len(code))
+    trie = lm.Trie(lm.mapped(lm.Trie.stored(context, word, share)))
+    known = dict(zip(zip(context.tolist(), word.tolist(), strict=True), share, strict=True))
+    c, w = rng.integers(0, 360, 20_000), rng.integers(0, 1100, 20_000)
+    first, second = trie.find(c, w)
+    assert np.array_equal(first >= 0, np.isin(c, context))
+    assert [k >= 0 for k in second] == [(a, b) in known for a, b in zip(c.tolist(), w.tolist(), strict=True)]
+    hit = second >= 0
+    want = np.array([known[a, b] for a, b in zip(c[hit].tolist(), w[hit].tolist(), strict=True)])
+    assert np.abs(np.log10(lm.restored(trie.codes[second[hit]]) / want)).max() <= 0.5 / lm.STEPS + 1e-9
+    assert trie.continuations.sum() == len(code) and lm.Trie(np.frombuffer(lm.Trie.stored(*[np.zeros(0, np.int64)] * 2, np.zeros(0)), np.uint8)).next.n == 0
 
 
 def test_elias_fano():
-    values = np.unique(np.random.default_rng(1).integers(0, 10**7, 5000))
-    low, high, shift = lm.EliasFano.parts(values, 10**7)
-    ef = lm.EliasFano(low, high, len(values), shift)
-    assert np.array_equal(ef.get(np.arange(len(values))), values)
-    assert np.array_equal(ef.find(values), np.arange(len(values)))
-    other = np.setdiff1d(np.arange(0, 10**6, 37), values)
-    assert (ef.find(other) == -1).all()
+    for values in (np.unique(np.random.default_rng(1).integers(0, 10**7, 5000)), np.array([0, 0, 3, 3, 9]), np.arange(100), np.zeros(0, np.int64)):
+        ef = lm.EliasFano(np.frombuffer(lm.EliasFano.stored(values, 10**7), np.uint8))
+        assert np.array_equal(ef.get(np.arange(len(values))), values)
+        assert np.array_equal(values[ef.find(values)], values)
+        other = np.setdiff1d(np.arange(-5, 10**6, 37), values)
+        assert (ef.find(other) == -1).all()
 
 
 def test_forest(spark):
