@@ -323,14 +323,68 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_wrapper_finds_unmarked_boilerplate():
-    page = "<body><div><p>Welcome to all</p></div><div><p>Story {k}</p><p>Goes on {k}</p></div></body>"
-    trees = [html.parse(page.replace("{k}", str(k))) for k in range(10)]
-    wrapper = html.load(html.dump(trees[0]))
-    for t in trees[1:]:
-        html.merge(wrapper, html.load(html.dump(t)))
-    assert html.extract(html.parse(page.replace("{k}", "77")), wrapper) == "Story 77 Goes on 77"
-    assert html.extract(html.parse(page.replace("{k}", "77")), None) == "Welcome to all Story 77 Goes on 77"
+def learnt(pages):
+    tree = html.folded(html.parse(pages[0]))
+    for x in pages[1:]:
+        html.merge(tree, html.load(html.dump(html.folded(html.parse(x)))))
+    html.decide(tree)
+    return html.opened(html.rules(tree))
+
+
+def test_template_decides_without_known_names():
+    rng = np.random.default_rng(2)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    pages, want = [], []
+    for k in range(30):
+        title, lead, parts = say(6), say(60), [say(int(rng.integers(30, 90))) for _ in range(int(rng.integers(2, 60)))]
+        body = "".join(f"<div class=q7>{x}</div>" for x in parts) + "<div class=q7>Printed from our site</div>"
+        menu = "".join(f"<div class=x><a href=/{k}{j}>{say(2)}</a></div>" for j in range(9))
+        pages.append(f"<body><div class=a1>Welcome to all</div><div class=zz>{menu}</div><div class=b2>{say(7)}</div><div class=cc><h2>{title}</h2><div class=l1><p>{lead}</p></div><div class=k>{body}</div></div><div class=end><span>Seen {k} times</span> {say(8)}</div></body>")
+        want.append(" ".join([title, lead, *parts]))
+    rules = learnt(pages)
+    for page, text in zip(pages, want, strict=True):
+        assert html.extract(html.parse(page), rules) == (text, "template")
+    assert "Welcome" in html.extract(html.parse(pages[0]), None)[0]
+    other = "<article><p>Of another make</p></article>"
+    assert html.extract(html.parse(f"<div class=new>{other}</div>"), rules) == ("Of another make", "marks")
+
+
+def test_simple_tree_matching_against_brute_force():
+    rng = np.random.default_rng(7)
+
+    def grow(depth):
+        node = html.Node("abc"[int(rng.integers(3))])
+        node.runs = [grow(depth - 1) for _ in range(int(rng.integers(0, 4)))] if depth else []
+        return node
+
+    def brute(a, b):
+        def best(x, y):
+            if not x or not y:
+                return 0
+            return max(best(x[1:], y), best(x, y[1:]), brute(x[0], y[0]) + best(x[1:], y[1:]))
+
+        return 1 + best(a.runs, b.runs) if a.key == b.key else 0
+
+    for _ in range(300):
+        a, b = grow(3), grow(3)
+        assert html._score(a, b, {}) == brute(a, b)
+
+
+def test_long_sequences_align_in_order():
+    x, y = ([html.Node(f"k{k}") for k in range(n)] for n in (400, 500))
+    pairs = html._in_order(x, y[::-1][:50] + y[50:], list(range(400)), list(range(500)))
+    assert pairs == sorted(pairs) and all(x[i].key == (y[::-1][:50] + y[50:])[j].key for i, j in pairs) and len(pairs) == 350
+
+
+def test_odd_pages():
+    deep = "<div>" * 100_000 + "deep <p>more"
+    assert html.extract(html.parse(deep), None)[0] == "deep more"
+    html.merge(html.folded(html.parse(deep)), html.folded(html.parse(deep)))
+    assert html.extract(html.parse("<b><i>" * 50_000 + "x</q>" * 20 + "</i></b>" * 50_000), None)[0] == "x" * 20
+    long = "y>" * 50_000
+    assert html.extract(html.parse(f'<p title="{long}">text</p>'), None)[0] == "text"
+    assert html.extract(html.parse('<p title="never ends>some <b>text</p>' * 3), None)[0] != ""
+    assert html.extract(html.parse("<p>a</p><p" + " x" * 9), None)[0] == "a"
 
 
 def test_chat(spark):
