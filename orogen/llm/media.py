@@ -2,7 +2,7 @@
 
 Companded bytes are expanded by lookup tables.  ADPCM predicts each sample from the one before, so
 numpy runs along the samples of a block and across all blocks at once.  Work is batch by batch in
-narrow Arrow stages; nothing is collected or shuffled.
+narrow Arrow stages; nothing is collected or shuffled.  One format is used for each text, by its bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from orogen.llm import bytework as B
 
@@ -143,99 +144,146 @@ def expand(tag: int, block: int, data: np.ndarray) -> np.ndarray:
     raise ValueError(f"format {tag}")
 
 
-def double_rate(x: np.ndarray) -> np.ndarray:
-    """Twice the rate: each sample, and the midpoint to the next by the 4-tap filter (-1, 9, 9, -1) / 16."""
+def double_rate(x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Twice the rate: each sample, and the midpoint to the next by the 4-tap filter (-1, 9, 9, -1) / 16.
+
+    ``lengths`` are those of signals that stand one after another (all above 0); each repeats its first and last sample
+    beyond its ends.
+    """
     out = np.empty(2 * len(x), np.int16)
     out[::2] = x
     if len(x):
-        y = x.astype(np.int32)
-        p = np.concatenate((y[:1], y, y[-1:], y[-1:]))
-        out[1::2] = np.clip((9 * (p[1:-2] + p[2:-1]) - p[:-3] - p[3:] + 8) >> 4, -32768, 32767)
+        ends = np.cumsum([len(x)] if lengths is None else lengths)
+        begins, y = np.append(0, ends[:-1]), x.astype(np.int32)
+        before, after, second = np.append(y[:1], y[:-1]), np.append(y[1:], y[-1:]), np.append(y[2:], [y[-1]] * min(2, len(y)))
+        before[begins], after[ends - 1], second[ends - 1] = y[begins], y[ends - 1], y[ends - 1]
+        second[np.maximum(ends - 2, begins)] = y[ends - 1]
+        out[1::2] = np.clip((9 * (y + after) - before - second + 8) >> 4, -32768, 32767)
     return out
 
 
-def _column(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return B.buffers(batch.column(k))
+#: Formats of store(), and the bytes of an ADPCM block there.
+FORMATS, IMA_BLOCK = (MULAW, ALAW, IMA_ADPCM), 576
 
 
-def store(docs: DataFrame, text: str = "text", id: str = "doc_id", unit: int = 576, law: str = "mulaw", rate: int = 8000) -> DataFrame:
-    """Texts as media columns: id, n_bytes, media (a WAV of 8-bit companded samples).
+def store(docs: DataFrame, text: str = "text", id: str = "doc_id", unit: int = 576, rate: int = 8000, tags: tuple[int, ...] = FORMATS) -> DataFrame:
+    """Texts as media columns: id, n_bytes, media (a telephony WAV).
 
-    The UTF-8 bytes, filled with bytes 255 up to a positive multiple of ``unit``, are the samples, so
-    the form is lossless.  A null text counts as empty; repeated rows and null ids stay.
+    The UTF-8 bytes, filled with bytes 255 up to a positive multiple of ``unit``, are the stored data, so
+    the form is lossless: 8-bit mu-law or A-law samples, or ADPCM blocks of 576 bytes, one of ``tags`` by the CRC of the
+    data.  A null text counts as empty; repeated rows and null ids stay; other columns are not read.
     """
-    tag = {"mulaw": MULAW, "alaw": ALAW}[law]
+    if IMA_ADPCM in tags and unit % IMA_BLOCK:
+        raise ValueError("data must be whole ADPCM blocks")
 
     def make(batches):
         for batch in batches:
-            data, offsets = _column(batch, 1)
-            raw, at = memoryview(data), offsets.tolist()
-            media, n = [], np.diff(offsets)
-            made = 0
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                media.append(wav(tag, rate, bytes(raw[a:b]) + b"\xff" * (max(1, -(-(b - a) // unit)) * unit - (b - a))))
-                made += len(media[-1])
-                if made > 8 * B.SLICE:
-                    k = len(media)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[:k], pa.array(n[:k]), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
-                    batch, n, media, made = batch.slice(k), n[k:], [], 0
-            if media:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+            data, offsets = B.buffers(batch.column(1))
+            raw, at, n = memoryview(data), offsets.tolist(), np.diff(offsets)
+            media, size, first = [], 0, 0
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                payload = bytes(raw[a:b]) + b"\xff" * (max(1, -(-(b - a) // unit)) * unit - (b - a))
+                tag = tags[zlib.crc32(payload) % len(tags)]
+                media.append(wav(tag, rate, payload, IMA_BLOCK, 4) if tag == IMA_ADPCM else wav(tag, rate, payload))
+                size += len(media[-1])
+                if size > 4 * B.SLICE or k == len(n) - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first : k + 1], pa.array(n[first : k + 1]), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+                    media, size, first = [], 0, k + 1
 
     chosen = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
     return chosen.mapInArrow(make, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id)
 
 
-def resampled(stored: DataFrame, media: str = "media", to: int = 16000) -> DataFrame:
+def samples(media: list[bytes | None], to: int) -> list[np.ndarray | None]:
+    """16-bit samples at ``to`` Hz of WAV files, decoded and resampled together; None for what can't be read."""
+    out: list[np.ndarray | None] = [None] * len(media)
+    groups: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
+    for k, item in enumerate(media):
+        try:
+            tag, rate, block, data = parse(item)
+            data = np.frombuffer(data, np.uint8)
+            if tag not in (PCM, *FORMATS) or rate <= 0 or tag == IMA_ADPCM and block <= 4:
+                continue
+        except (ValueError, TypeError, struct.error):
+            continue
+        data = data[: len(data) // block * block] if tag == IMA_ADPCM else data[: len(data) // 2 * 2] if tag == PCM else data
+        groups.setdefault((tag, rate, block), []).append((k, data))
+    for (tag, rate, block), items in groups.items():
+        x = expand(tag, block, np.concatenate([d for _, d in items]))
+        per = [len(d) // block * (2 * (block - 4) + 1) if tag == IMA_ADPCM else len(d) // (2 if tag == PCM else 1) for _, d in items]
+        while rate < to:
+            full = np.array([n for n in per if n], np.int64)
+            x, rate, per = double_rate(x, full), 2 * rate, [2 * n for n in per]
+        edges = np.append(0, np.cumsum(per))
+        for (k, _), a, b in zip(items, edges[:-1], edges[1:], strict=True):
+            out[k] = x[a:b]
+    return out
+
+
+def resampled(stored: DataFrame, media: str = "media", to: int = 16000, pcm: str = "pcm") -> DataFrame:
     """Adds ``pcm``: the stored audio as a 16-bit PCM WAV at ``to`` Hz (a power of two times its rate).
 
-    A null, broken or unsupported medium gives null.
+    A null, broken or unsupported medium gives null; a column of that name is replaced; others stay.
     """
+    rows = stored.drop(pcm)
+    decode = _decoder(rows.columns.index(media), to, pcm)
+    return rows.mapInArrow(decode, StructType([*rows.schema.fields, StructField(pcm, BinaryType())]))
 
-    @F.pandas_udf("binary")
-    def decode(items):
-        return items.map(lambda x: _pcm(x, to))
 
-    return stored.withColumn("pcm", decode(F.col(media)))
+def _decoder(at: int, to: int, pcm: str):
+    """Adds the resampled audio of column ``at`` to Arrow batches, which it cuts by bytes, so that many blocks are decoded at once."""
 
+    def decode(batches):
+        for batch in batches:
+            sizes = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(at))])
+            i = 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(sizes, sizes[i] + 4 * B.SLICE, "right")) - 1))
+                part = batch.slice(i, j - i)
+                found = samples([x.as_buffer() if x.is_valid else None for x in part.column(at)], to)
+                files = [None if x is None else wav(PCM, to, x.astype("<i2").tobytes(), 2, 16) for x in found]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(files, pa.binary())], [*part.schema.names, pcm])
+                i = j
+
+    return decode
 
-def _pcm(media: bytes | None, to: int) -> bytes | None:
-    try:
-        tag, rate, block, data = parse(media)
-        x = expand(tag, block, np.frombuffer(data, np.uint8))
-    except (ValueError, TypeError, struct.error):
-        return None
-    while rate < to:
-        x, rate = double_rate(x), rate * 2
-    return wav(PCM, rate, x.astype("<i2").tobytes(), 2, 16)
 
+def described(stored: DataFrame, id: str = "doc_id", media: str = "media", pcm: str = "pcm", to: int = 16000) -> DataFrame:
+    """What is read back from the stored columns: id, n_bytes, data and media digests, feature.
 
-def described(stored: DataFrame, id: str = "doc_id", media: str = "media", to: int = 16000) -> DataFrame:
-    """What is read back from the stored bytes: id, n_bytes, payload digests, media digests, feature.
+    Without a column of that name the PCM column is made here, batch by batch of Arrow, and read back from it: eight
+    times the text, it need not pass through the JVM.
 
-    The feature names the resampled PCM: samples, rate, root mean square, zero crossings and CRC.
+    The feature names the resampled PCM as stored: format of the medium, samples, rate, root mean square, zero
+    crossings and CRC.  A null or broken medium has null digests and feature.
     """
 
+    there = pcm in stored.columns
+    decode = _decoder(2, to, "pcm")
+
     def read(batches):
-        for batch in batches:
+        for batch in batches if there else decode(batches):
             rows = []
-            for item in batch.column(2):
-                whole = memoryview(item.as_buffer())
-                tag, rate, block, data = parse(whole)
-                x = expand(tag, block, np.frombuffer(data, np.uint8))
-                while rate < to:
-                    x, rate = double_rate(x), rate * 2
-                size = np.sqrt(np.dot(x.astype(np.float32), x.astype(np.float32)) / max(1, len(x)))
+            for item, sound in zip(batch.column(2), batch.column(3), strict=True):
+                try:
+                    whole = memoryview(item.as_buffer())
+                    tag, _, _, data = parse(whole)
+                    _, rate, _, pcm_ = parse(sound.as_buffer())
+                except (ValueError, TypeError, AttributeError, struct.error):
+                    rows.append((None,) * 6)
+                    continue
+                x = np.frombuffer(pcm_, "<i2")
+                size = np.sqrt(np.dot(x.astype(np.float64), x.astype(np.float64)) / max(1, len(x)))
                 turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                feature = f"n={len(x)};rate={rate};rms={size:.1f};zc={turns};crc={zlib.crc32(x):08x}"
+                feature = f"tag={tag};n={len(x)};rate={rate};rms={size:.1f};zc={turns};crc={zlib.crc32(pcm_):08x}"
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), feature))
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "n_bytes", *names])
 
-    chosen = stored.select(F.col(id).alias("id"), "n_bytes", F.col(media).alias("media"))
+    chosen = stored.select(F.col(id).alias("id"), "n_bytes", F.col(media).alias("media"), *([F.col(pcm).alias("pcm")] if there else []))
     kind = chosen.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return chosen.mapInArrow(read, schema).withColumnRenamed("id", id)
