@@ -88,6 +88,30 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "the same words " * 20)] * 3000, "doc_id long, text string").repartition(2)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group=500)
+    per = [r["count"] for r in got.groupBy((F.col("sequence_id") % 6).alias("g")).count().collect()]
+    assert sum(per) == 3000 and len(per) == 6 and max(per) < 700
+
+
+def test_words_built_alike_keep_their_ids(spark):
+    line, texts = "ab", []
+    for _ in range(12):
+        line += line.translate(str.maketrans("ab", "ba"))
+        texts += [line, line.translate(str.maketrans("ab", "ba"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    for name, keep in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        library = tokens.encoder(public_tokenizers.path(name), keep).library
+        got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, public_tokenizers.path(name), keep_space=keep).collect()}
+        assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    crc = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    ids = {k: [*library.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert all(crc[k, 0] == zlib.crc32(np.array(i, "<u4").tobytes()) for k, i in ids.items() if len(i) <= 2048)
+    classes = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert all(classes[k] == k for k in classes)
+
+
 def test_sum_of_squares_is_near_the_bound():
     n = np.clip(np.random.default_rng(2).exponential(600, 6000), 1, 2048).astype(np.int64)
     s, _ = packing.sum_of_squares(n, 2048)
@@ -306,6 +330,9 @@ def test_forest(spark):
         assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
         right += len({m[1] for m in mine} & {k for _, k in best})
     assert right >= 0.9 * 5 * 24
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    pairs = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 3)) for r in forest.neighbours(twice, lambda id: id == 0).collect())
+    assert pairs == sorted(2 * [(0, 1, 0, 1.0), (0, 2, 7, 0.707), (0, 3, 0, 0.0)] + [(0, 1, 7, 0.707), (0, 2, 0, 0.0), (0, 3, 0, 0.0)])
     assert [r["vec_id"] for r in got if r["query_id"] == 0 and r["rank"] == 1] == [5000]
     assert not any(r["query_id"] in (5001, 5002, 5003, 5004, 5006) for r in got)
     assert forest.neighbours(df.filter("false"), lambda id: id % 50 == 0).count() == 0
@@ -405,17 +432,60 @@ def test_chat(spark):
 
 
 def test_media(spark, odd, none):
-    got = {r["doc_id"]: r for r in media.described(media.store(odd)).collect()}
+    got = {r["doc_id"]: r for r in media.described(media.resampled(media.store(odd))).collect()}
     for k, t in enumerate(TEXTS):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         r = got[None if k == 3 else k]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-    assert media.described(media.store(none)).count() == 0
+    assert media.described(media.resampled(media.store(none))).count() == 0
     pcm = media.resampled(media.store(odd).filter("doc_id = 4")).first()["pcm"]
     assert media.parse(pcm)[:3] == (media.PCM, 16000, 2)
 
 
+def test_media_that_cannot_be_read(spark):
+    rows = [(1, 0, None), (2, 0, b"junk"), (3, 0, b"RIFF"), (4, 2, media.wav(media.MULAW, 8000, b"ab"))]
+    df = media.resampled(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, n_bytes long, media binary, pcm string"))
+    got = {r["doc_id"]: r for r in media.described(df).collect()}
+    assert [got[k]["payload_sha256"] for k in (1, 2, 3)] == [None] * 3 and got[4]["payload_bytes"] == 2
+    assert {r["doc_id"]: r["pcm"] is None for r in df.collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def decoded(block):
+    """IMA ADPCM, sample by sample."""
+    steps, now, index = media.ima_steps().tolist(), int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [now]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = steps[index]
+            change = step >> 3
+            for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                change += part if code & bit else 0
+            now = max(-32768, min(32767, now - change if code & 8 else now + change))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+            out.append(now)
+    return out
+
+
+def test_adpcm_and_resampling_against_one_sample_at_a_time(spark):
+    rng = np.random.default_rng(1)
+    blocks = rng.integers(0, 256, (7, 576)).astype(np.uint8)
+    assert [decoded(bytes(b)) for b in blocks] == media.ima_decode(blocks).tolist()
+    files = [media.wav(tag, 8000, rng.integers(0, 256, 576 * k).astype(np.uint8).tobytes(), 576 if tag == 17 else 1) for tag in media.FORMATS for k in (1, 3)]
+    found = media.samples([*files, None, b"", media.wav(media.ALAW, 8000, b"")], 16000)
+    for file, x in zip(files, found, strict=False):
+        tag, _, _, data = media.parse(file)
+        raw = sum((decoded(bytes(data[k : k + 576])) for k in range(0, len(data), 576)), []) if tag == 17 else [int((media.mulaw_table() if tag == 7 else media.alaw_table())[b]) for b in data]
+        at = lambda k, r=raw: r[max(0, min(len(r) - 1, k))]
+        want = [v for k in range(len(raw)) for v in (raw[k], max(-32768, min(32767, (9 * (at(k) + at(k + 1)) - at(k - 1) - at(k + 2) + 8) >> 4)))]
+        assert x.tolist() == want
+    assert found[-3] is None and found[-2] is None and len(found[-1]) == 0
+    tags = {r["feature"].split(";")[0] for r in media.described(media.resampled(media.store(spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string")))).collect()}
+    assert tags == {"tag=6", "tag=7", "tag=17"}
+    docs = spark.createDataFrame([(k, "text " * k) for k in range(300)], "doc_id long, text string")
+    assert sorted(media.described(media.store(docs)).collect()) == sorted(media.described(media.resampled(media.store(docs))).collect())
+
+
 def test_companding_and_adpcm():
     u, a = media.mulaw_table(), media.alaw_table()
     assert (u[0], u[127], u[128], u[255]) == (-32124, 0, 32124, 0) and (a[0x55], a[0xD5], a[0x2A], a[0xAA]) == (-8, 8, -32256, 32256)
@@ -423,7 +493,6 @@ def test_companding_and_adpcm():
     rows = np.stack([8000 * np.sin(t / s) for s in (5, 9, 20, 60)]).astype(np.int16)
     out = media.ima_decode(media.ima_encode(rows))
     assert out.shape == rows.shape and np.abs(out[:, 20:].astype(int) - rows[:, 20:]).mean() < 500
-    assert media._pcm(b"junk", 16000) is None
 
 
 def test_pipeline(spark):
