@@ -43,18 +43,37 @@ def ray_starts(rows: int, columns: int, dr: float, dc: float) -> list[tuple[int,
     return out
 
 
-def ray_cells(spark, rows: int, columns: int, azimuth: float, dx: float, dy: float) -> DataFrame:
-    """Cells along all rays: ray, k (steps from its start), r, c, distance."""
-    dr, dc, metres = ray_steps(azimuth, dx, dy)
-    edge = rows if dc else 0
-    ray = spark.range(edge + (columns if dr else 0)).withColumnRenamed("id", "ray")
-    side = F.col("ray") < edge
-    start = ray.withColumns({"sr": F.when(side, F.col("ray")).otherwise(0 if dr > 0 else rows - 1).cast("double"), "sc": F.when(side, F.lit(0 if dc > 0 else columns - 1)).otherwise(F.col("ray") - edge).cast("double")})
-    path = start.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(rows, columns)))))
-    path = path.select("ray", "k", F.floor(F.col("sr") + F.col("k") * dr).alias("r"), F.floor(F.col("sc") + F.col("k") * dc).alias("c"), (F.col("k") * metres).alias("distance"))
+def ray_cells(spark, rows: int, columns: int, azimuths: list[float], dx: float, dy: float) -> DataFrame:
+    """Cells along the rays of all azimuths: turn (place of the azimuth), ray, k (steps from its start), r, c, distance.
+
+    A ray has as many steps as it stays on the raster, so the rows are about cells times azimuths.
+    """
+    turns = []
+    for turn, azimuth in enumerate(azimuths):
+        dr, dc, metres = ray_steps(azimuth, dx, dy)
+        edge = rows if dc else 0
+        fields = {"turn": turn, "dr": dr, "dc": dc, "metres": metres, "edge": edge, "rays": edge + (columns if dr else 0), "r0": float(0 if dr > 0 else rows - 1), "c0": float(0 if dc > 0 else columns - 1)}
+        turns.append(F.struct(*(F.lit(v).alias(k) for k, v in fields.items())))
+    start = spark.range(rows + columns).select(F.col("id").alias("ray"), F.explode(F.array(*turns)).alias("t")).select("ray", "t.*").filter("ray < rays")
+    side = F.col("ray") < F.col("edge")
+    start = start.withColumns({"sr": F.when(side, F.col("ray").cast("double")).otherwise(F.col("r0")), "sc": F.when(side, F.col("c0")).otherwise((F.col("ray") - F.col("edge")).cast("double"))})
+    # the step on which a coordinate has left, at the latest
+    leaves = lambda x, step, n: F.when(step > 0, F.ceil((n - x) / step)).when(step < 0, F.floor(x / -step) + 1).otherwise(F.lit(max(rows, columns)).cast("long"))
+    last = F.least(leaves(F.col("sr"), F.col("dr"), rows), leaves(F.col("sc"), F.col("dc"), columns))
+    path = start.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    path = path.select("turn", "ray", "k", F.floor(F.col("sr") + F.col("k") * F.col("dr")).alias("r"), F.floor(F.col("sc") + F.col("k") * F.col("dc")).alias("c"), (F.col("k") * F.col("metres")).alias("distance"))
     return path.filter(F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1))
 
 
+def _dark(cells: DataFrame, rows: int, columns: int, azimuths: list[float], elevation: float, dx: float, dy: float, penumbra: float) -> DataFrame:
+    """Cells in shadow: turn, r, c, lit; one join and one window for all azimuths."""
+    path = ray_cells(cells.sparkSession, rows, columns, azimuths, dx, dy)
+    raised = path.join(cells, ["r", "c"]).withColumn("raised", F.col("h") + F.col("distance") * math.tan(elevation))
+    before = Window.partitionBy("turn", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    below = raised.withColumn("top", F.max("raised").over(before)).filter("raised < top")
+    return below.groupBy("turn", "r", "c").agg(F.max_by(F.greatest(F.lit(0.0), 1.0 - (F.col("top") - F.col("raised")) / penumbra), "ray").alias("lit"))
+
+
 def azimuth_shadow(cells: DataFrame, rows: int, columns: int, azimuth: float, elevation: float, dx: float, dy: float, penumbra: float) -> DataFrame:
     """Soft shadows for any azimuth: r, c, lit in [0, 1].
 
@@ -62,18 +81,13 @@ def azimuth_shadow(cells: DataFrame, rows: int, columns: int, azimuth: float, el
     which fades over ``penumbra`` metres.  Where rays share a cell the highest shadowed ray decides;
     cells that no ray meets are lit.
     """
-    path = ray_cells(cells.sparkSession, rows, columns, azimuth, dx, dy)
-    raised = path.join(cells, ["r", "c"]).withColumn("raised", F.col("h") + F.col("distance") * math.tan(elevation))
-    before = Window.partitionBy("ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    below = raised.withColumn("top", F.max("raised").over(before)).filter("raised < top")
-    dark = below.groupBy("r", "c").agg(F.max_by(F.greatest(F.lit(0.0), 1.0 - (F.col("top") - F.col("raised")) / penumbra), "ray").alias("lit"))
+    dark = _dark(cells, rows, columns, [azimuth], elevation, dx, dy, penumbra)
     return cells.select("r", "c").join(dark, ["r", "c"], "left").select("r", "c", F.coalesce("lit", F.lit(1.0)).alias("lit"))
 
 
 def ambient_occlusion(cells: DataFrame, rows: int, columns: int, dx: float, dy: float, azimuths: int = 16, elevation: float = math.radians(10), penumbra: float = 200.0) -> DataFrame:
     """Mean of soft shadows over evenly spread azimuths: r, c, ao."""
-    layers = None
-    for k in range(azimuths):
-        one = azimuth_shadow(cells, rows, columns, k * math.tau / azimuths, elevation, dx, dy, penumbra)
-        layers = one if layers is None else layers.unionByName(one)
-    return layers.groupBy("r", "c").agg((F.sum(F.round("lit", 9).cast("decimal(18,9)")).cast("double") / azimuths).alias("ao"))
+    dark = _dark(cells, rows, columns, [k * math.tau / azimuths for k in range(azimuths)], elevation, dx, dy, penumbra)
+    lit = dark.groupBy("r", "c").agg((azimuths - F.count("*")).alias("free"), F.sum(F.round("lit", 9).cast("decimal(18,9)")).alias("lit"))
+    total = (F.col("lit") + F.col("free")).cast("double") / azimuths
+    return cells.select("r", "c").join(lit, ["r", "c"], "left").select("r", "c", F.coalesce(total, F.lit(1.0)).alias("ao"))

@@ -31,6 +31,20 @@ def drift_gate(track: DataFrame, threshold: float, key: str = "user_id", order:
     return track.groupBy(key).applyInPandas(gate, track.schema)
 
 
+def sun_gate(frames: DataFrame, key: str, order: str, threshold: float = 0.00175) -> DataFrame:
+    """Frames (key, order, azimuth, elevation) whose shadow is computed anew.
+
+    The sun is up and has moved by more than the threshold since the last such frame; the first frame with the sun up is one.
+    """
+
+    def gate(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        up = part[part["elevation"] > 0]
+        return up.iloc[passed(up["azimuth"], up["elevation"], threshold)[0]]
+
+    return frames.groupBy(key).applyInPandas(gate, frames.schema)
+
+
 def tile_slides(track: DataFrame, size: float, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Rows where the tile differs from that of the row before."""
     w = Window.partitionBy(key).orderBy(*order)
