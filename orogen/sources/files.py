@@ -1,14 +1,22 @@
-"""Raster files: headers, BIL grids, uncompressed float GeoTIFFs, and a chunked Parquet store."""
+"""Raster files: headers, BIL grids, float GeoTIFFs, directories of tiles, overview caches, and a chunked Parquet store."""
 
 from __future__ import annotations
 
+import math
+import os
+import shutil
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orogen.functions.geo import tile_corner
+from orogen.functions.viewer import overview_factors
+from orogen.operators.pyramid import downsample
+
 CELLS = "path string, r long, c long, h double"
 REQUIRED = ("BYTEORDER", "NROWS", "NCOLS", "NODATA", "ULXMAP", "ULYMAP", "XDIM", "YDIM")
 
@@ -83,30 +91,112 @@ def tiff_levels(content: bytes) -> list[dict[int, tuple]]:
     return out
 
 
+def lzw_decode(data: bytes) -> bytes:
+    """TIFF LZW: codes of 9 to 12 bits, the first bit leading; 256 clears the table, 257 ends."""
+    table: list[bytes] = [bytes([k]) for k in range(256)] + [b"", b""]
+    out, bits, have, width, last = bytearray(), 0, 0, 9, b""
+    for byte in bytes(data):
+        bits, have = (bits << 8 | byte) & 0xFFFFFFFF, have + 8
+        if have < width:
+            continue
+        have -= width
+        code = bits >> have & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            width, last = 9, b""
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif code == len(table) and last:
+            entry = last + last[:1]
+        else:
+            raise ValueError("broken LZW data")
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        size = len(table) + 1  # the writer's table is one entry ahead
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    return bytes(out)
+
+
+#: Compression tags that are read.
+PLAIN, LZW, DEFLATE = (1,), (5,), (8, 32946)
+
+
+def tiff_block(raw: bytes, order: str, rows: int, columns: int, compression: int, predictor: int) -> np.ndarray:
+    """Samples of a strip or tile of 32-bit floats."""
+    if compression in LZW:
+        raw = lzw_decode(raw)
+    elif compression in DEFLATE:
+        raw = zlib.decompress(raw)
+    elif compression not in PLAIN:
+        raise ValueError(f"compression {compression} is not read")
+    if len(raw) < rows * columns * 4:
+        raise ValueError("a strip or tile ends early")
+    raw = raw[: rows * columns * 4]
+    if predictor == 1:
+        return np.frombuffer(raw, order + "f4").reshape(rows, columns)
+    if predictor == 2:
+        steps = np.frombuffer(raw, order + "u4").reshape(rows, columns)
+        return np.cumsum(steps, axis=1, dtype=np.uint32).view(np.float32)
+    if predictor == 3:  # bytes in planes, the leading first, as differences along the line
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, columns * 4), axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(planes.reshape(rows, 4, columns).transpose(0, 2, 1)).view(">f4")[..., 0]
+    raise ValueError(f"predictor {predictor} is not read")
+
+
 def tiff_window(content: bytes, level: int = 0, window: tuple[int, int, int, int] | None = None) -> tuple[np.ndarray, int, int]:
-    """Samples of an uncompressed 32-bit float image in a window (row, column, rows, columns), read strip by strip.
+    """Samples of a 32-bit float image in a window (row, column, rows, columns): plain, LZW or Deflate, in strips or tiles.
 
-    Only strips that overlap the window are decoded.  Returns samples and the first row and column.
+    Only strips and tiles that overlap the window are decoded.  Returns samples and the first row and column.
     """
     tags = tiff_levels(content)[level]
     columns, rows = tags[256][0], tags[257][0]
-    if tags.get(258, (32,))[0] != 32 or tags.get(339, (3,))[0] != 3 or tags.get(259, (1,))[0] != 1:
-        raise ValueError("only uncompressed 32-bit float samples are read")
+    if tags.get(258, (32,))[0] != 32 or tags.get(339, (3,))[0] != 3 or tags.get(277, (1,))[0] != 1:
+        raise ValueError("only images of one 32-bit float sample are read")
     r0, c0, m, n = window or (0, 0, rows, columns)
     r1, c1 = min(rows, r0 + m), min(columns, c0 + n)
     r0, c0 = max(0, r0), max(0, c0)
     if r1 <= r0 or c1 <= c0:
         raise ValueError("empty window")
-    per = tags.get(278, (rows,))[0]
+    tiled = 324 in tags
+    high, wide = (tags[323][0], tags[322][0]) if tiled else (tags.get(278, (rows,))[0], columns)
+    places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags.get(279))
+    across = -(-columns // wide)
     out = np.empty((r1 - r0, c1 - c0))
-    for s in range(r0 // per, (r1 - 1) // per + 1):
-        high = min(per, rows - s * per)
-        strip = np.frombuffer(content, tags["order"] + "f4", high * columns, tags[273][s]).reshape(high, columns)
-        a, b = max(r0, s * per), min(r1, s * per + high)
-        out[a - r0 : b - r0] = strip[a - s * per : b - s * per, c0:c1]
+    for i in range(r0 // high, (r1 - 1) // high + 1):
+        held = high if tiled else min(high, rows - i * high)
+        for j in range(c0 // wide, (c1 - 1) // wide + 1):
+            at, size = places[i * across + j], sizes[i * across + j] if sizes else held * wide * 4
+            block = tiff_block(bytes(content[at : at + size]), tags["order"], held, wide, tags.get(259, (1,))[0], tags.get(317, (1,))[0])
+            a, b, e, f = max(r0, i * high), min(r1, (i + 1) * high), max(c0, j * wide), min(c1, (j + 1) * wide)
+            out[a - r0 : b - r0, e - c0 : f - c0] = block[a - i * high : b - i * high, e - j * wide : f - j * wide]
     return out, r0, c0
 
 
+def window_around(meta: dict, e: float, n: float, radius: float) -> tuple[int, int, int, int]:
+    """The window (row, column, rows, columns) of a square of ``radius`` about a position; meta as tiff_metadata gives it.
+
+    ValueError if none of it is on the image.
+    """
+    scale = meta["scale"]
+    c0, c1 = math.floor((e - radius - meta["x0"]) / scale), math.ceil((e + radius - meta["x0"]) / scale)
+    r0, r1 = math.floor((meta["y0"] - n - radius) / scale), math.ceil((meta["y0"] - n + radius) / scale)
+    r0, c0, r1, c1 = max(0, r0), max(0, c0), min(meta["rows"], r1), min(meta["columns"], c1)
+    if r1 <= r0 or c1 <= c0:
+        raise ValueError("empty window")
+    return r0, c0, r1 - r0, c1 - c0
+
+
+def rebased(meta: dict, window: tuple[int, int, int, int]) -> dict:
+    """Metadata of a window: its size and its own origin."""
+    r, c, m, n = window
+    return {**meta, "rows": m, "columns": n, "x0": meta["x0"] + c * meta["scale"], "y0": meta["y0"] - r * meta["scale"]}
+
+
 def read_geotiff(spark: SparkSession, path: str, level: int = 0, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Float GeoTIFFs as cells; NaN and heights below -1000 are null, in windows also exact 0."""
 
@@ -121,7 +211,7 @@ def read_geotiff(spark: SparkSession, path: str, level: int = 0, window: tuple[i
 
 
 def tiff_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Per image directory: path, ifd, rows, columns, scale, x0, y0, epsg (0 scale and null keys where absent)."""
+    """Per image directory: path, ifd, rows, columns, scale, x0, y0, epsg, wkt (0 scale and null keys where absent)."""
 
     def describe(batches):
         for batch in batches:
@@ -132,13 +222,64 @@ def tiff_metadata(spark: SparkSession, path: str) -> DataFrame:
                 tie = levels[0].get(33922, (0.0,) * 6)
                 keys = levels[0].get(34735, ())
                 epsg = [keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k] in (2048, 3072)]
+                wkt = geo_text(keys, levels[0].get(34737, (b"",))[0])
                 for k, tags in enumerate(levels):
-                    out.append((name.as_py(), k, tags[257][0], tags[256][0], base * levels[0][256][0] / tags[256][0], tie[3], tie[4], epsg[-1] if epsg else None))
-            names = ["path", "ifd", "rows", "columns", "scale", "x0", "y0", "epsg"]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
+                    out.append((name.as_py(), k, tags[257][0], tags[256][0], base * levels[0][256][0] / tags[256][0], tie[3], tie[4], epsg[-1] if epsg else None, wkt))
+            names = ["path", "ifd", "rows", "columns", "scale", "x0", "y0", "epsg", "wkt"]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(describe, "path string, ifd int, rows long, columns long, scale double, x0 double, y0 double, epsg int")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(describe, "path string, ifd int, rows long, columns long, scale double, x0 double, y0 double, epsg int, wkt string")
+
+
+#: How the text of a reference system begins.
+SYSTEMS = ("PROJCS[", "GEOGCS[", "PROJCRS[", "GEODCRS[")
+
+
+def geo_text(keys: tuple, text: bytes) -> str | None:
+    """The reference system in the ASCII parameters that keys 3073 or 2049 point to, if it is one."""
+    for k in range(4, len(keys) - 3, 4):
+        if keys[k] in (3073, 2049) and keys[k + 1] == 34737:
+            found = bytes(text)[keys[k + 3] : keys[k + 3] + keys[k + 2]].decode("ascii", "replace").rstrip("|\0 ")
+            if found.startswith(SYSTEMS):
+                return found
+    return None
+
+
+def tile_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files named like 50 km tiles below a folder: path, n, e, first (whether it is the first by path)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif").load(path).select("path")
+    n, e = tile_corner(F.col("path"))
+    found = files.select("path", n.alias("n"), e.alias("e")).filter("n is not null")
+    return found.join(F.broadcast(found.agg(F.min("path").alias("least"))), F.lit(True), "left").select("path", "n", "e", (F.col("path") == F.col("least")).alias("first"))
+
+
+def overview_cache(spark: SparkSession, path: str, report=lambda share, what: None) -> DataFrame | None:
+    """The cached levels of a file (factor, r, c, h), built unless they are at least as recent as it is; None if it needs none.
+
+    The cache is a Parquet table beside the file, written under another name first.  A folder that can't be written
+    gives the levels without a cache.
+    """
+    meta = tiff_metadata(spark, path).orderBy("ifd").collect()
+    scale = meta[0]["scale"]
+    factors = spark.range(1).select(overview_factors(F.lit(float(scale)), F.lit(len(meta))).alias("f")).first()["f"] if scale else None
+    if not factors:
+        return None
+    plain = path.removeprefix("file://")
+    cache = os.path.join(os.path.dirname(plain), f".tmp_levels_{os.path.basename(plain)}")
+    if os.path.exists(cache) and os.path.getmtime(cache) >= os.path.getmtime(plain):
+        report(1.0, "overview cache hit")
+        return spark.read.parquet(f"file://{cache}")
+    report(0.0, "building overview cache")
+    levels = downsample(read_geotiff(spark, path).select("r", "c", "h"), list(factors))
+    if not os.access(os.path.dirname(cache), os.W_OK):
+        return levels
+    levels.write.mode("overwrite").parquet(f"file://{cache}.part")
+    if os.path.exists(cache):
+        shutil.rmtree(cache)
+    os.rename(f"{cache}.part", cache)
+    report(1.0, "overview cache built")
+    return spark.read.parquet(f"file://{cache}")
 
 
 def write_tiff(levels: list[np.ndarray], scale: float, x0: float, y0: float, epsg: int) -> bytes:

@@ -1,6 +1,7 @@
 """Operators against plain loops, properties and round trips."""
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -193,3 +194,131 @@ def test_whole_rasters(spark):
     for part in (moved, last):
         want = np.where(np.isnan(part), want, part)
     assert np.allclose(array(QUERIES["stitch_whole"](spark, sf), h.shape), want, equal_nan=True)
+
+
+def _tiff(grid, tile, compression, predictor, order="<"):
+    """A float TIFF in tiles or strips, written tag by tag."""
+    import zlib
+
+    rows, columns = grid.shape
+    high, wide = tile or (5, columns)
+
+    def packed(block):
+        if predictor == 3:
+            planes = np.ascontiguousarray(block.astype(">f4")).view(np.uint8).reshape(block.shape[0], block.shape[1], 4).transpose(0, 2, 1).reshape(block.shape[0], -1)
+            raw = np.diff(planes, axis=1, prepend=np.zeros((len(planes), 1), np.uint8)).astype(np.uint8).tobytes()
+        elif predictor == 2:
+            raw = np.diff(block.astype("<f4").view("<u4"), axis=1, prepend=np.uint32(0)).astype(order + "u4").tobytes()
+        else:
+            raw = block.astype(order + "f4").tobytes()
+        return zlib.compress(raw) if compression == 8 else lzw(raw) if compression == 5 else raw
+
+    def lzw(raw):
+        table, bits, n, width, last = {bytes([k]): k for k in range(256)}, 256, 9, 9, b""
+        size = 258
+        for k in range(len(raw)):
+            if last + raw[k : k + 1] in table:
+                last += raw[k : k + 1]
+                continue
+            bits, n = bits << width | table[last], n + width
+            table[last + raw[k : k + 1]], size, last = size, size + 1, raw[k : k + 1]
+            width = 9 if size < 511 + 1 else 10 if size < 1024 else 11 if size < 2048 else 12
+            if size >= 4094:
+                bits, n = bits << width | 256, n + width
+                table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+        bits, n = bits << width | table[last], n + width
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        bits, n = bits << width | 257, n + width
+        return (bits << -n % 8).to_bytes(-(-n // 8), "big")
+
+    blocks = []
+    for a in range(0, rows, high):
+        for b in range(0, columns, wide):
+            part = grid[a : a + high, b : b + wide]
+            blocks.append(packed(np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1]))) if tile else part))
+    head = struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8)
+    where = (322, 323, 324, 325) if tile else (None, 278, 273, 279)
+    text = b'PROJCS["Some system"]|'
+    tags = [(256, 4, [columns]), (257, 4, [rows]), (258, 3, [32]), (259, 3, [compression]), (277, 3, [1]), (317, 3, [predictor]), (339, 3, [3]), (33550, 12, [30.0, 30.0, 0.0]), (33922, 12, [0.0, 0, 0, 1000.0, 9000.0, 0]), (34735, 3, [1, 1, 0, 2, 3072, 0, 1, 3035, 3073, 34737, len(text), 0]), (34737, 2, [text])]
+    tags += [(where[0], 4, [wide])] * bool(tile) + [(where[1], 4, [high]), (where[2], 4, None), (where[3], 4, [len(x) for x in blocks])]
+    tags.sort(key=lambda x: x[0])
+    extra, entries = 8 + 2 + 12 * len(tags) + 4, b""
+    tail = bytearray()
+    starts = None
+    for turn in range(2):
+        entries, tail = b"", bytearray()
+        for tag, kind, values in tags:
+            values = values if values is not None else starts or [0] * len(blocks)
+            raw = values[0] if kind == 2 else struct.pack(order + {3: "H", 4: "I", 12: "d"}[kind] * len(values), *values)
+            count = len(raw) if kind == 2 else len(values)
+            if len(raw) > 4:
+                place = extra + len(tail)
+                tail += raw
+                raw = struct.pack(order + "I", place)
+            entries += struct.pack(order + "HHI", tag, kind, count) + raw.ljust(4, b"\0")
+        at = extra + len(tail)
+        starts = [at + sum(map(len, blocks[:k])) for k in range(len(blocks))]
+    return head + struct.pack(order + "H", len(tags)) + entries + struct.pack(order + "I", 0) + bytes(tail) + b"".join(blocks)
+
+
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+@pytest.mark.parametrize("compression, predictor, order", [(1, 1, "<"), (1, 1, ">"), (8, 1, "<"), (8, 2, "<"), (8, 3, ">"), (5, 1, "<"), (5, 2, "<"), (5, 3, "<")])
+def test_geotiff_forms(spark, tmp_path, tile, compression, predictor, order):
+    grid = np.cumsum(np.random.default_rng(3).normal(0, 3, (37, 70)), axis=1).astype(np.float32) + 1500
+    content = _tiff(grid, tile, compression, predictor, order)
+    assert np.array_equal(files.tiff_window(content)[0], grid)
+    part, r, c = files.tiff_window(content, 0, (10, 20, 22, 33))
+    assert (r, c) == (10, 20) and np.array_equal(part, grid[10:32, 20:53])
+    if compression == 8 and predictor == 3:
+        (tmp_path / "a.tif").write_bytes(content)
+        meta = files.tiff_metadata(spark, str(tmp_path / "a.tif")).first().asDict()
+        assert (meta["rows"], meta["columns"], meta["epsg"], meta["wkt"]) == (37, 70, 3035, 'PROJCS["Some system"]')
+        window = files.window_around(meta, 1000 + 30 * 30.0, 9000 - 15 * 30.0, 120.0)
+        assert window == (11, 26, 8, 8)
+        again = files.rebased(meta, window)
+        assert (again["x0"], again["y0"]) == (1000 + 26 * 30.0, 9000 - 11 * 30.0)
+        cells = files.read_geotiff(spark, str(tmp_path / "a.tif"), window=window)
+        assert cells.count() == 64 and cells.filter("r = 11 AND c = 26").first()["h"] == float(grid[11, 26])
+        with pytest.raises(ValueError):
+            files.window_around(meta, 0.0, 0.0, 10.0)
+
+
+def test_tiles_below_a_folder(spark, tmp_path):
+    for name in ("x/y/CRS3035RES50000mN100000E200000.tif", "x/CRS3035RES50000mN150000E200000.tif", "x/other.tif"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = sorted((r["n"], r["e"], r["first"]) for r in files.tile_files(spark, str(tmp_path)).collect())
+    assert got == [(100000, 200000, False), (150000, 200000, True)]
+
+
+def test_overview_cache_is_kept_while_fresh(spark, tmp_path):
+    import os
+
+    path = tmp_path / "a.tif"
+    path.write_bytes(files.write_tiff([np.arange(40 * 40, dtype=np.float32).reshape(40, 40)], 2.0, 0.0, 0.0, 3035))
+    said = []
+    first = files.overview_cache(spark, str(path), lambda share, what: said.append(what))
+    assert {r["factor"] for r in first.select("factor").distinct().collect()} == {4, 16} and said[-1] == "overview cache built"
+    files.overview_cache(spark, str(path), lambda share, what: said.append(what))
+    assert said[-1] == "overview cache hit"
+    os.utime(path, (2e9, 2e9))
+    files.overview_cache(spark, str(path), lambda share, what: said.append(what))
+    assert said[-1] == "overview cache built"
+    path.write_bytes(files.write_tiff([np.ones((4, 4), np.float32)], 25.0, 0.0, 0.0, 3035))
+    assert files.overview_cache(spark, str(path)) is None
+
+
+def test_projections_return(spark):
+    from orogen.functions import crs
+
+    points = spark.createDataFrame([(47.0 + k / 7, 10.0 + k / 3) for k in range(12)], "lat double, lon double")
+    for epsg in (4326, 3035, 31287):
+        x, y = crs.from_wgs84(F.col("lat"), F.col("lon"), epsg)
+        there = points.select("lat", "lon", x.alias("x"), y.alias("y"))
+        lat, lon = crs.to_wgs84(F.col("x"), F.col("y"), epsg)
+        assert there.filter((F.abs(lat - F.col("lat")) > 1e-7) | (F.abs(lon - F.col("lon")) > 1e-7)).count() == 0
+    lat, lon = crs.from_lambert(np.array([400000.0]), np.array([400000.0]))
+    assert math.degrees(lat[0]) == pytest.approx(47.5, abs=1e-9) and math.degrees(lon[0]) == pytest.approx(13 + 1 / 3, abs=1e-9)
+    with pytest.raises(ValueError):
+        crs.to_wgs84(F.lit(0.0), F.lit(0.0), 1)
