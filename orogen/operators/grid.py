@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,28 @@ def assemble(tiles: DataFrame, rows: int, columns: int, missing: float = 0.0) ->
     spark = tiles.sparkSession
     if tiles.filter("tr = 0 AND tc = 0").isEmpty():
         raise ValueError("the north-west tile is missing")
-    grid = spark.range(9).select((F.col("id").cast("long").alias("t"))).select(F.floor(F.col("t") / 3).alias("tr"), (F.col("t") % 3).alias("tc"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows * columns - 1).cast("long"))).alias("k"))
-    grid = grid.select("tr", "tc", F.floor(F.col("k") / columns).alias("r"), (F.col("k") % columns).alias("c"))
+    lines = spark.range(9 * rows).select(F.floor(F.col("id") / (3 * rows)).alias("tr"), F.floor(F.col("id") / rows % 3).alias("tc"), (F.col("id") % rows).alias("r"))
+    grid = lines.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("c"))
     joined = grid.join(tiles, ["tr", "tc", "r", "c"], "left")
     return joined.select((F.col("tr") * rows + F.col("r")).alias("r"), (F.col("tc") * columns + F.col("c")).alias("c"), F.coalesce("h", F.lit(missing)).alias("h"))
 
 
+def load_neighbourhood(loader: Callable[[int, int], DataFrame | None], latitude: int, longitude: int, rows: int, columns: int) -> DataFrame:
+    """The 3 x 3 tiles about a tile as one raster; ``loader`` gives the cells (r, c, h) of a tile, or None for a missing one.
+
+    The first row is the northern one.
+    """
+    found = []
+    for tr in range(3):
+        for tc in range(3):
+            cells = loader(latitude + 1 - tr, longitude - 1 + tc)
+            if cells is not None:
+                found.append(cells.select(F.lit(tr).cast("long").alias("tr"), F.lit(tc).cast("long").alias("tc"), "r", "c", "h"))
+    if not found:
+        raise ValueError("no tile is there")
+    return assemble(reduce(DataFrame.unionByName, found), rows, columns)
+
+
 def splat(cells: DataFrame, part: DataFrame, row: int, column: int, name: str, outside: float = 1.0) -> DataFrame:
     """A layer of a cropped window back in the whole raster, ``outside`` elsewhere."""
     back = part.select((F.col("r") + row).alias("r"), (F.col("c") + column).alias("c"), F.col(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from orogen.functions import geo
 from orogen.functions import viewer as V
 from orogen.operators import sample, surface
 from orogen.plans import tiles as plans
-from orogen.plans.queries import DX, FILES, NORMALS, POINTS, REQ, STATE, SQUARES, _cr, _files, d, points, query, requests, rounded, size
+from orogen.plans.queries import DX, FILES, NORMALS, POINTS, REQ, SQL, SQUARES, STATE, THRESHOLD, _cr, _files, d, points, query, requests, rounded, size
 from orogen.sources import tables as T
 from orogen.streaming import drift
 
@@ -209,3 +210,10 @@ def hemisphere_view(spark, sf_dir):
     """Openness of all cells by 16 samples on a hemisphere about the normal, from bilinear heights."""
     cells = T.raster(spark, sf_dir)
     return rounded(sample.view_occlusion(surface.normals(cells, DX, DX), *size(cells), DX, DX, 16), "ao")
+
+
+@query(SQL["drift_gate"])
+def drift_gate_stream(spark, sf_dir):
+    """The drift gate as a stream over the whole track."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return drift.gated(T.track(spark, sf_dir), THRESHOLD, f"{folder}/drift-{uuid.uuid4().hex}").select("user_id", "event_id", "x", "y")

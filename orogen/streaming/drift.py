@@ -94,6 +94,22 @@ def drift_stream(track: DataFrame, threshold: float, key: str = "user_id") -> Da
     return track.groupBy(key).transformWithStateInPandas(statefulProcessor=Gate(threshold), outputStructType=track.schema, outputMode="append", timeMode="None")
 
 
+def gated(track: DataFrame, threshold: float, folder: str, key: str = "user_id") -> DataFrame:
+    """A stored track run through the gate as a stream, to its end: the rows that passed, as a table in the folder."""
+    spark = track.sparkSession
+    track.write.mode("overwrite").parquet(f"{folder}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(track.schema).parquet(f"{folder}/in")
+        out = drift_stream(stream, threshold, key).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return spark.read.schema(track.schema).parquet(f"{folder}/out")
+
+
 def reload_batches(requests: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, key: str = "user_id"):
     """Runs ``work`` on the latest request of each key in every micro-batch; older ones of the batch are dropped."""
 

@@ -322,3 +322,70 @@ def test_projections_return(spark):
     assert math.degrees(lat[0]) == pytest.approx(47.5, abs=1e-9) and math.degrees(lon[0]) == pytest.approx(13 + 1 / 3, abs=1e-9)
     with pytest.raises(ValueError):
         crs.to_wgs84(F.lit(0.0), F.lit(0.0), 1)
+
+
+def test_windows_follow_a_viewer(spark, tmp_path):
+    from datetime import datetime
+
+    from orogen.streaming import tiers
+
+    h = np.add.outer(np.arange(60.0), np.arange(50.0) * 2)
+    h[30, 20] += 500
+    cells, meta = frame(spark, h), {"rows": 60, "columns": 50, "scale": 30.0, "x0": 1000.0, "y0": 9000.0}
+    sun = (math.radians(270), math.radians(20))
+    got, found = tiers.window(cells, meta, 1000 + 20.5 * 30, 9000 - 30.5 * 30, 300.0, sun)
+    assert (found["rows"], found["columns"], found["centre_e"]) == (21, 21, 1615.0)
+    assert got.count() == 21 * 21 and got.filter("h = 570").select("r", "c").first() == (10, 10)
+    assert got.filter("r = 10 AND c = 11").first()["lit"] < 1 and got.filter("ao < 1").count() > 0
+    assert tiers.window(cells, meta, 1100.0, 8900.0, 3000.0, (0.0, -0.1), False, 16)[1] | {"x0": 0, "y0": 0} == {"rows": 16, "columns": 16, "scale": 30.0, "x0": 0, "y0": 0, "centre_e": 1100.0, "centre_n": 8900.0}
+    track = spark.createDataFrame([(u, datetime(2024, 1, 1, 0, k), k, 1300.0 + 100 * k * u, 8500.0) for u in (1, 2) for k in range(4)], "user_id long, ts timestamp, event_id long, x double, y double")
+    track.coalesce(1).write.parquet(str(tmp_path / "in"))
+    said = []
+    gate = drift.drift_stream(spark.readStream.schema(track.schema).parquet(str(tmp_path / "in")), 150.0)
+    load = lambda e, n: tiers.window(cells, meta, e, n, 120.0, sun, False)
+    tiers.follow(gate, load, str(tmp_path / "out"), str(tmp_path / "cp"), report=said.append).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in kept.select("key", "centre_e").distinct().collect()) == [(1, 1500.0), (2, 1900.0)] and len(said) == 2
+
+
+def test_newer_generations_pass_and_older_are_stale(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(1, datetime(2024, 1, 1, 0, k), k, float(x), 0.0, g) for k, (x, g) in enumerate([(0, 0), (10, 0), (500, 0), (510, 1), (520, 1), (900, 0), (530, 2)])]
+    track = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, x double, y double, generation long")
+    assert sorted(r["event_id"] for r in drift.gated(track, 100.0, str(tmp_path)).collect()) == [0, 2, 3, 6]
+
+
+def test_fine_windows_come_from_tiles(spark, tmp_path):
+    from orogen.streaming import tiers
+
+    h = np.random.default_rng(5).normal(1500, 10, (50, 100)).astype(np.float32)
+    for k in range(2):
+        (tmp_path / f"CRS3035RES50000mN0E{50000 * k}.tif").write_bytes(files.write_tiff([h[:, 50 * k : 50 * k + 50]], 1000.0, 50000.0 * k, 50000.0, 3035))
+    got, meta = tiers.fine_window(spark, str(tmp_path), 50000.0, 25000.0, 5000.0)
+    assert (meta["x0"], meta["y0"]) == (45000.0, 30000.0)
+    out = array(got, (meta["rows"], meta["columns"]))
+    assert np.array_equal(out[:10, :10], h[20:30, 45:55])
+    assert tiers.fine_window(spark, str(tmp_path), 500000.0, 25000.0, 5000.0) is None
+
+
+def test_neighbourhood_by_a_loader(spark):
+    tile = lambda a, b: None if (a, b) == (47, 12) else frame(spark, np.full((2, 3), a * 100.0 + b))
+    out = array(grid.load_neighbourhood(tile, 47, 11, 2, 3), (6, 9))
+    assert out[0, 0] == 4810 and out[5, 8] == 4612 and out[2, 6] == 0 and out[2, 3] == 4711
+
+
+def test_settings_timing_and_footprints(spark, tmp_path):
+    from orogen.functions import host
+
+    path = str(tmp_path / "s.toml")
+    assert host.Settings.load(path) == host.Settings()
+    host.Settings(vat_mode=3, tile_5m_path='a "b"\\c', fog_enabled=False).save(path)
+    assert host.Settings.load(path) == host.Settings(vat_mode=3, tile_5m_path='a "b"\\c', fog_enabled=False)
+    (tmp_path / "s.toml").write_text("vat_mode = 'x'\nlod_mode = 2\n")
+    assert host.Settings.load(path) == host.Settings(lod_mode=2)
+    said = []
+    assert host.timed("work", said.append)(lambda x: x + 1)(2) == 3 and said[0].startswith("work,") and len(said) == 2
+    (tmp_path / "a.kml").write_text("<kml><Document><Placemark><name>A</name><styleUrl>#s</styleUrl><Polygon><outerBoundaryIs><LinearRing><coordinates>1,2,0 3,4.5,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></Document></kml>")
+    row = host.placemarks(spark, str(tmp_path / "a.kml")).first()
+    assert row["name"] == "A" and [tuple(p) for p in row["points"]] == [(1.0, 2.0), (3.0, 4.5)]
