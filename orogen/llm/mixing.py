@@ -55,7 +55,7 @@ def copies(rate: Column, id: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: bool = False, mark: str = "") -> DataFrame:
-    """Copies of each document: id, size (words), source_size, target (of its source), copies, taken.
+    """Copies of each document: id, size (words), source_size, target (of its source), taken, copies.
 
     ``keep`` retains the columns of docs beside these, whose names begin with ``mark``.  Null sources are one
     source; null texts and sources without words have size 0, target 0 and are taken 0 times; an empty table gives
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     joined = sized.join(aims, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.coalesce(F.try_divide(target, F.col(source_size).cast("double")), F.lit(0.0))
     out = joined.withColumn(made_copies, copies(rate, F.col(id), seed)).withColumn(taken, F.col(size) * F.col(made_copies))
-    return out if keep else out.select(id, *made)
+    return out if keep else out.select(id, size, source_size, target, taken, made_copies)
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:

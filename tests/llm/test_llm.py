@@ -122,7 +122,8 @@ def test_mix(spark, odd, none):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     want = sorted(con.execute(mixing.SQL).fetchall())
-    assert sorted(map(tuple, mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect())) == want
+    names = [c[0] for c in con.execute(mixing.SQL).description]
+    assert sorted(map(tuple, mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).select(*names).collect())) == want
     got = mixing.mix(odd).collect()
     assert len(got) == len(TEXTS) + 1 and all(r["taken"] <= 2 * r["size"] for r in got)
     assert mixing.emitted(odd).columns == odd.columns
@@ -528,3 +529,138 @@ def test_pipeline_keeps_rows_without_ids(spark):
 
 def test_queries_cover_the_list():
     assert [q.split("_")[0] for q in queries.queries()] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+
+
+def test_template_crowds_are_not_compared_pair_by_pair(spark, monkeypatch):
+    seen = Counter()
+    real = neardup.written
+
+    def watched(df, name):
+        out = real(df, name)
+        seen[name] += out.count() if name in ("neardup-pairs", "neardup-facts") else 0
+        return out
+
+    monkeypatch.setattr(neardup, "written", watched)
+    common = " ".join(f"c{k}" for k in range(160))
+    for n in (300, 1200):
+        seen.clear()
+        docs = spark.createDataFrame([(i, common + " " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(n)], "doc_id long, text string").repartition(4)
+        assert neardup.near_duplicates(docs).select("class_id").distinct().count() == n
+        assert seen["neardup-pairs"] < n and seen["neardup-facts"] < 8 * n
+
+
+def brute_classes(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    weigh = neardup.idf(docs.select("text"))
+    sets = [neardup.weighted(next(bytework.words(pa.array([t])))[2:], weigh) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if root(i) != root(j) and neardup.jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return docs, [root(k) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("pairs, rounds", [(1 << 22, 6), (200, 3)])
+def test_large_families_with_edits_of_edits(spark, monkeypatch, pairs, rounds):
+    """All classes of a family whose members differ from its origin by up to a third, and from each other's edits."""
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    rng = np.random.default_rng(12)
+    origin = [f"o{k}" for k in range(200)]
+    texts = [origin]
+    for k in range(400):
+        own = list(texts[int(rng.integers(len(texts)))])
+        kind, at = int(rng.integers(3)), int(rng.integers(0, len(own) - 40))
+        if kind == 0:
+            for j in rng.choice(len(own), int(rng.integers(1, 9)), replace=False):
+                own[j] = f"e{k}x{j}"
+        elif kind == 1:
+            del own[at : at + int(rng.integers(1, 30))]
+        else:
+            own[at:at] = [f"i{k}x{j}" for j in range(int(rng.integers(1, 40)))]
+        if len(own) > 100:
+            texts.append(own)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs, want = brute_classes(spark, rows)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert sum(got[k] != want[k] for k in range(len(rows))) <= 2
+    assert len(set(want)) > 3
+
+
+def test_null_ids_and_shared_ids_are_compared(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:50], "x", *base[51:]])
+    rows = [(None, " ".join(base)), (5, near), (7, "one text of seven words is here"), (7, "another text that has nothing in common")]
+    got = [(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter([(None, 5), (5, 5), (7, 7), (7, 7)])
+
+
+def test_stages_keep_columns_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, score string, predicted int, size int, copies string, target string, k1 string, text_key long, n_chars long"
+    tail = ("own", 7, 8, "c", "t", "k", 9, 10)
+    rows = [(1, None, "en", None, *tail), (None, "", None, "s", *tail), (3, "a clean text of a few words", "en", "s", *tail), (3, "a clean text of a few words", "en", "s", *tail), (None, "another text without an id", "de", "s", *tail), (4, LONG, "en", "t", *tail)]
+    docs = spark.createDataFrame(rows, schema)
+    empty = docs.filter("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        for r in out.collect():
+            assert tuple(r)[4:] == tail, name
+        assert stage(spark, empty, SF).count() == 0, name
+    assert corpus_pipeline.reject_toxic(spark, docs, SF).count() == len(rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect())
+    assert kept == Counter([(1, None), (3, "a clean text of a few words"), (None, "another text without an id"), (4, LONG)])
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.filter("piece = 0").count() == len(rows) and corpus_pipeline.pack(spark, empty, SF).count() == 0
+
+
+def test_queries_keep_to_their_contracts(spark):
+    columns = {
+        "op1_main_text": "page_id url text n_chars",
+        "op2_hash_forest": "query_id rank vec_id score",
+        "op3_toxicity": "doc_id held_out score predicted",
+        "op4_token_counts": "doc_id n_bytes n_tokens over_limit",
+        "op5_minhash_neardup": "doc_id class_id",
+        "op6_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+        "op7_mix_sources": "doc_id size source_size target taken",
+        "op8_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op9_telephony": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+        "op10_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    }
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {name: queries.queries()[name](spark, SF).collect() for name in columns}
+    for name, wanted in columns.items():
+        assert rows[name][0].__fields__[: len(wanted.split())] == wanted.split(), name
+    odd = next(r for r in rows["op6_chat_format"] if r["conv_id"] == -7)
+    assert odd["turns_sha256"] == hashlib.sha256(b"user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n").hexdigest()
+    assert (odd["n_turns"], odd["loss_chars"], odd["loss_sha256"]) == (2, 21, hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest())
+    remainder = lambda k, by: zlib.crc32(str(k).encode()) % by
+    assert all(r["held_out"] == (remainder(r["doc_id"], 5) == 0) and r["predicted"] == (r["score"] >= 0.5) for r in rows["op3_toxicity"])
+    assert all(r["held_out"] == (remainder(r["doc_id"], 7) == 2) for r in rows["op8_lm_score"])
+    assert {r["query_id"] % 50 for r in rows["op2_hash_forest"]} == {0}
+    for name in ("op3_toxicity", "op4_token_counts", "op5_minhash_neardup", "op7_mix_sources", "op8_lm_score", "op9_telephony"):
+        assert Counter(r["doc_id"] for r in rows[name]) == Counter(docs.keys()), name
+    for r in rows["op9_telephony"]:
+        raw = (docs[r["doc_id"]] or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokens.encoder(path, True, True).library
+    ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for k, t in docs.items()}
+    covered, held = Counter(), Counter()
+    for r in rows["op10_packing"]:
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        covered[r["doc_id"]] += r["length"]
+        held[r["sequence_id"]] += r["length"]
+    assert covered == Counter({k: len(i) for k, i in ids.items()}) and max(held.values()) <= 2048
+    assert len(held) <= 1.02 * sum(held.values()) / 2048 + 2
