@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.operators.surface import SKY, pixel
+from orogen.operators.surface import SKY, brightness, pixel
 
 
 def camera(yaw: float, pitch: float, fov: float, width: int, height: int) -> tuple[tuple, tuple, tuple, float, float]:
@@ -32,14 +32,24 @@ def rays(spark, width: int, height: int, view: tuple) -> DataFrame:
     return spark.range(width * height).select(px.alias("px"), py.alias("py"), *((d[k] / size).alias(n) for k, n in enumerate(("ux", "uy", "uz"))))
 
 
-def first_hit(directions: DataFrame, cells: DataFrame, eye: tuple[float, float, float], rows: int, columns: int, dx: float, dy: float, step: float, steps: int) -> DataFrame:
-    """First of ``steps`` points along each ray at or below the ground: px, py, k, h (null for none)."""
+def first_hit(directions: DataFrame, cells: DataFrame, eye: tuple[float, float, float], rows: int, columns: int, dx: float, dy: float, step: float, steps: int, layers: tuple[str, ...] = ()) -> DataFrame:
+    """First of ``steps`` points along each ray at or below the ground: px, py, k, h (null for none), and layers of its cell."""
     at = directions.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     x, y, z = (F.lit(e) + F.col(u) * (F.col("k") * step) for e, u in zip(eye, ("ux", "uy", "uz"), strict=True))
     cell = at.select("px", "py", "k", F.floor(y / dy).alias("r"), F.floor(x / dx).alias("c"), z.alias("z"))
     inside = cell.filter(F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1))
-    hit = inside.join(cells, ["r", "c"]).filter("z <= h").groupBy("px", "py").agg(F.min_by(F.struct("k", "h"), "k").alias("m"))
-    return directions.select("px", "py").join(hit, ["px", "py"], "left").select("px", "py", F.col("m.k").cast("long").alias("k"), F.col("m.h").alias("h"))
+    hit = inside.join(cells, ["r", "c"]).filter("z <= h").groupBy("px", "py").agg(F.min_by(F.struct("k", "h", *layers), "k").alias("m"))
+    return directions.select("px", "py").join(hit, ["px", "py"], "left").select("px", "py", F.col("m.k").cast("long").alias("k"), F.col("m.h").alias("h"), *(F.col(f"m.{x}").alias(x) for x in layers))
+
+
+def shaded_image(hits: DataFrame, step: float, sun: tuple[float, float, float], strength: float = 0.8) -> DataFrame:
+    """Packed BGRA of hits that carry nx, ny, nz, lit and ao of their cells, sky where there is none: px, py, bgra.
+
+    Occlusion darkens by ``strength`` of itself; light is rounded to six digits.
+    """
+    light = F.round(brightness(F.col("nx"), F.col("ny"), F.col("nz"), sun, F.col("lit"), 1.0 + (F.col("ao") - 1.0) * strength), 6)
+    sky = int(SKY[2]) + int(SKY[1]) * 256 + int(SKY[0]) * 65536 + 255 * 16777216
+    return hits.select("px", "py", F.coalesce(pixel(F.col("h"), light, F.col("k") * step), F.lit(sky).cast("long")).alias("bgra"))
 
 
 def image(hits: DataFrame, step: float, light: float) -> DataFrame:
@@ -78,8 +88,14 @@ def march(heights: np.ndarray, eye, directions: np.ndarray, dx: float, dy: float
     return out
 
 
+#: Bytes of a raster that render_adaptive() broadcasts at most.
+HELD = 256 << 20
+
+
 def render_adaptive(directions: DataFrame, heights: np.ndarray, eye, dx: float, dy: float, reach: float, least: float) -> DataFrame:
-    """march() over blocks of pixels with a broadcast raster (whose size the caller bounds): px, py, t."""
+    """march() over blocks of pixels with a broadcast raster of at most HELD bytes: px, py, t."""
+    if heights.nbytes > HELD:
+        raise ValueError("the raster is too large to be held by every executor; crop it or use first_hit")
     held = directions.sparkSession.sparkContext.broadcast(heights)
 
     def block(parts):

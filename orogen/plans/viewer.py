@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from orogen.functions import geo
 from orogen.functions import viewer as V
-from orogen.operators import sample, surface
+from orogen.operators import render, sample, shadow, surface
+from orogen.plans import queries as Q
 from orogen.plans import tiles as plans
 from orogen.plans.queries import DX, FILES, NORMALS, POINTS, REQ, SQL, SQUARES, STATE, THRESHOLD, _cr, _files, d, points, query, requests, rounded, size
 from orogen.sources import tables as T
@@ -217,3 +218,22 @@ def drift_gate_stream(spark, sf_dir):
     """The drift gate as a stream over the whole track."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     return drift.gated(T.track(spark, sf_dir), THRESHOLD, f"{folder}/drift-{uuid.uuid4().hex}").select("user_id", "event_id", "x", "y")
+
+
+_SHADED = (
+    Q._ray_sql().split(" SELECT px, py, coalesce(")[0].replace("arg_min(h, k) AS z", "arg_min(h, k) AS z, arg_min(path.r, k) AS r, arg_min(path.c, k) AS c")
+    + f", {NORMALS}, dark AS ({Q.rays_sql(Q.AZIMUTH, 'v1')}), crop AS (SELECT * FROM v1), layers AS ({Q._AO}), ao AS (SELECT r, c, CAST(sum(CAST(lit AS DECIMAL(18,9))) AS DOUBLE) / 16 AS ao FROM layers GROUP BY r, c), "
+    + f"lights AS (SELECT norm.r, norm.c, round(({d(0.15)} * (1 + (ao - 1) * {d(0.8)}) + {d(1.0 - 0.15)} * greatest(CAST(0 AS DOUBLE), nx * {d(Q.SUN[0])} + ny * {d(Q.SUN[1])} + nz * {d(Q.SUN[2])})) * (0.5::DOUBLE + 0.5::DOUBLE * coalesce(lit, 1)), 6) AS light FROM norm JOIN ao ON ao.r = norm.r AND ao.c = norm.c LEFT JOIN dark ON dark.r = norm.r AND dark.c = norm.c) "
+    + f"SELECT ray.px, ray.py, coalesce({Q._bgra('light', f'(k * {d(Q.STEP)})')}, CAST(4287090411 AS BIGINT)) AS bgra FROM ray LEFT JOIN (SELECT px, py, k, z, light FROM hit JOIN lights ON lights.r = hit.r AND lights.c = hit.c) USING (px, py)"
+)
+
+
+@query(_SHADED)
+def render_shaded(spark, sf_dir):
+    """The view with normals, cast shadow and occlusion of the cells that rays hit."""
+    cells = T.raster(spark, sf_dir)
+    m, n = size(cells)
+    lit = shadow.azimuth_shadow(cells, m, n, Q.AZIMUTH, Q.ELEVATION, DX, DX, Q.PENUMBRA)
+    layered = surface.normals(cells, DX, DX).join(lit, ["r", "c"]).join(shadow.ambient_occlusion(cells, m, n, DX, DX), ["r", "c"])
+    hits = render.first_hit(render.rays(spark, Q.WIDTH, Q.HEIGHT, Q.VIEW), layered, Q.EYE, m, n, DX, DX, Q.STEP, Q.STEPS, ("nx", "ny", "nz", "lit", "ao"))
+    return render.shaded_image(hits, Q.STEP, Q.SUN)
