@@ -259,6 +259,7 @@ def grouped(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity:
     class_id = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("lead")).alias("class_id")
     named = written(named.select("k1", "k2", "least", F.coalesce("root", "k1").alias("group"), class_id), "neardup-named")
     dropped(classes)
+    weigh.destroy()  # what is returned is read from tables
     return signed.select("id", "k1", "k2"), named
 
 
@@ -460,7 +461,9 @@ def _prefixes(spark, differences: DataFrame, part: float) -> tuple[DataFrame, Da
 
     facts = marks.select("line", "id", "excess", "least", "parts", "weights", "shared").mapInArrow(cut, "line long, id long, excess double, beyond double, " + ", ".join(f"{x} long" for x in MAP) + ", rare array<long>, rest array<long>")
     near = marks.select("line", "id", "next", (F.col("excess") + F.col("least") <= 0).alias("close"))
-    return written(facts, "neardup-facts"), near, near.filter("close").select(F.col("id").alias("a"), F.col("next").alias("b"))
+    facts = written(facts, "neardup-facts")
+    often.destroy()
+    return facts, near, near.filter("close").select(F.col("id").alias("a"), F.col("next").alias("b"))
 
 
 def agreeing():
