@@ -5,22 +5,27 @@ of vectors as a sorted array of these strings.  A query descends in every tree t
 matching prefix (a binary search), then ascends in all trees together, one prefix bit at a time,
 until enough vectors share a prefix with it in some tree; those are compared exactly.
 
-Vectors are dealt into blocks of about ``BLOCK``; the query set meets the blocks in blocks of
-``QUERIES``.  Every vector is indexed, nothing is sampled, and each (query block, vector block) is
-one bounded unit of work whose best hits are merged by query.
+Vectors are dealt into blocks of about ``BLOCK``, the query set into blocks of ``QUERIES``.  The
+tasks read the vector blocks in place; query blocks of at most ``HELD`` bytes go to them at a time,
+by a broadcast of that size whatever the tables are.  Every vector is indexed, nothing is sampled;
+a task merges the best hits of its blocks by query before they are sent on.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orogen.llm.cluster import written
+from orogen.llm.cluster import dropped, written
 
 BLOCK, QUERIES = 8192, 2048
+#: Bytes of query vectors that are broadcast at a time (one block of queries at least).
+HELD = 32 << 20
 #: Trees, and the share of a block that a query ascends to.  The vectors at hand are nearly isotropic
 #: (second moments within 1.0 to 1.6 of each other), where no index does much: on 2,000 vectors shares of 0.05, 0.1, 0.3, 0.6
 #: and 0.75 find 0.26, 0.41, 0.73, 0.91 and 0.99 of the true neighbours (the last compares 0.89 of all vectors).
@@ -48,9 +53,13 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     size, q_size = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     near, near_q = (x / size[:, None]).astype(np.float32), (q / q_size[:, None]).astype(np.float32)  # a first ranking
     h, hq = strings(x, trees), strings(q, trees)
-    orders = [np.argsort(h[:, t], kind="stable") for t in range(trees)]
-    arrays = [h[orders[t], t] for t in range(trees)]
     n, least = len(x), min(len(x), max(64, int(share * len(x)), 4 * k))
+    # the place of every vector in every tree's sorted array
+    places, arrays = np.empty((trees, n), np.uint16 if n < 65_535 else np.uint32), []
+    for t in range(trees):
+        by = np.argsort(h[:, t], kind="stable")
+        places[t, by] = np.arange(n)
+        arrays.append(h[by, t])
     # begin and end of the entries that share p leading bits, for p from the root on
     low, high = np.zeros((65, trees, len(q)), np.int32), np.full((65, trees, len(q)), n, np.int32)
     for t in range(trees):
@@ -66,25 +75,29 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
                 low[p + 1 :, t], high[p + 1 :, t] = 0, 0
                 break
     found = (high - low).sum(axis=1)  # entries on each level, twice if in two trees
+    first, last = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
     out: list[tuple] = []
     for i in range(len(q)):
+        if i % 256 == 0:
+            products = near_q[i : i + 256] @ near.T
         levels = np.flatnonzero(found[:, i] >= least)
         level = int(levels[-1]) if len(levels) else 0
-        seen = np.zeros(n, bool)
         while True:
-            for t in range(trees):
-                seen[orders[t][low[level, t, i] : high[level, t, i]]] = True
-            if level == 0 or int(seen.sum()) >= least:
+            begin = low[level, :, i].astype(places.dtype)[:, None]
+            width = (high[level, :, i] - low[level, :, i]).astype(places.dtype)[:, None]
+            seen = np.logical_or.reduce(places - begin < width, axis=0)  # unsigned: places before the begin wrap round
+            if level == 0 or np.count_nonzero(seen) >= least:
                 break
             level -= 1
+        for j in range(first[i], last[i]):
+            if seen[j] and (x[j] == q[i]).all():
+                seen[j] = False
+                break
         at = np.flatnonzero(seen)
-        own = at[ids[at] == q_ids[i]]
-        own = own[(x[own] == q[i]).all(axis=1)][:1]
-        at = np.setdiff1d(at, own, assume_unique=True)
         if not len(at):
             continue
-        rough = near.take(at, axis=0) @ near_q[i]
         if len(at) > k:
+            rough = products[i % 256, at]
             edge = np.partition(rough, len(rough) - k)[len(rough) - k]
             at = at[rough >= edge - 1e-5]
         score = (x[at] * q[i]).sum(axis=1) / (size[at] * q_size[i])
@@ -102,7 +115,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(good, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def neighbours(vectors: DataFrame, query, k: int = 5, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, queries: int = QUERIES, trees: int = TREES, share: float = SHARE) -> DataFrame:
+def neighbours(vectors: DataFrame, query, k: int = 5, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, queries: int = QUERIES, trees: int = TREES, share: float = SHARE, held: int = HELD) -> DataFrame:
     """The k nearest found (cosine) of each query among all other rows: query_id, rank, id, score.
 
     ``query`` is a condition on the id.  Vectors that are null, zero or hold null or non-finite
@@ -126,20 +139,56 @@ def neighbours(vectors: DataFrame, query, k: int = 5, id: str = "vec_id", vector
         ids = group["id"].to_numpy().astype("<i8")
         return pa.table([group["dim"][:1], group["at"][:1], pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["dim", "at", "ids", "vectors"])
 
-    kept = written(rows.withColumnRenamed("block", "at").groupBy("dim", "at").applyInArrow(bundle, "dim int, at int, ids binary, vectors binary"), "forest-blocks")
+    many = min(1000, 4 * sum(-(-n // block) for n, _ in sizes.values()))  # files of few blocks each, so that cores share them evenly
+    kept = written(rows.withColumnRenamed("block", "at").repartition(many, "dim", "at").groupBy("dim", "at").applyInArrow(bundle, "dim int, at int, ids binary, vectors binary"), "forest-blocks")
     bundled = written(asked.withColumnRenamed("part", "at").select("id", "v", "dim", "at").groupBy("dim", "at").applyInArrow(bundle, "dim int, at int, ids binary, vectors binary"), "forest-queries")
-    # query blocks are dealt to every block of vectors: (rows / 50 / 2048) x (rows / 8192) units
-    spread = bundled.withColumnsRenamed({"at": "part", "ids": "q_ids", "vectors": "q_vectors"}).withColumn("at", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("dim")) - 1)))
-    units = spread.join(kept, ["dim", "at"])
-
-    def unit(group: pa.Table) -> pa.Table:
-        dim = group["dim"][0].as_py()
-        item = {c: group[c][0].as_buffer() for c in ("ids", "vectors", "q_ids", "q_vectors")}
-        x, q = (np.frombuffer(item[c], "<f8").reshape(-1, dim) for c in ("vectors", "q_vectors"))
-        q_ids = np.frombuffer(item["q_ids"], "<i8")
-        place, ids, score = search(x, np.frombuffer(item["ids"], "<i8"), q, q_ids, k, trees, share)
-        return pa.table([pa.array(np.full(len(place), dim, np.int32)), pa.array(np.full(len(place), group["part"][0].as_py(), np.int32)), pa.array(place), pa.array(q_ids[place]), pa.array(ids), pa.array(score)], ["dim", "part", "place", "query_id", "id", "score"])
-
-    hits = units.groupBy("dim", "at", "part").applyInArrow(unit, "dim int, part int, place long, query_id long, id long, score double")
+    slabs: list[list] = []
+    room = 0
+    for r in sorted(bundled.select("dim", "at", F.length("vectors").alias("bytes")).collect()):
+        if room < r["bytes"]:
+            slabs.append([])
+            room = held
+        slabs[-1].append((r["dim"], r["at"]))
+        room -= r["bytes"]
+    found = [_answers(kept, bundled, slab[0], slab[-1], k, trees, share) for slab in slabs]
+    dropped(kept, bundled)
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id} long, score double")
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id)
+
+
+def _answers(kept: DataFrame, bundled: DataFrame, first: tuple[int, int], last: tuple[int, int], k: int, trees: int, share: float) -> DataFrame:
+    """Results of the query blocks from ``first`` to ``last`` (dim, at), which all tasks hold: query_id, rank, id, score."""
+    spark = kept.sparkSession
+    pair = lambda p: F.struct(F.lit(p[0]), F.lit(p[1]))
+    chosen = bundled.filter(F.struct("dim", "at").between(pair(first), pair(last)))
+    asked: dict[int, list] = {}
+    for r in chosen.collect():
+        asked.setdefault(r["dim"], []).append((r["at"], bytes(r["ids"]), bytes(r["vectors"])))
+    held = spark.sparkContext.broadcast(asked)
+
+    def unit(batches):
+        best: dict[tuple[int, int], tuple] = {}  # by query block: places, ids, scores of the nearest so far
+        for batch in batches:
+            for dim, ids, vectors in zip(*(batch.column(c) for c in ("dim", "ids", "vectors")), strict=True):
+                dim = dim.as_py()
+                x, own = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim), np.frombuffer(ids.as_buffer(), "<i8")
+                for part, q_ids, q in held.value.get(dim, ()):
+                    hits = search(x, own, np.frombuffer(q, "<f8").reshape(-1, dim), np.frombuffer(q_ids, "<i8"), k, trees, share)
+                    if (dim, part) in best:
+                        hits = tuple(np.concatenate(c) for c in zip(best[dim, part], hits, strict=True))
+                        order = np.lexsort((hits[1], -hits[2], hits[0]))
+                        place = hits[0][order]
+                        order = order[np.arange(len(place)) - np.searchsorted(place, place, "left") < k]
+                        hits = tuple(c[order] for c in hits)
+                    best[dim, part] = hits
+        for (dim, part), (place, ids, score) in best.items():
+            q_ids = next(np.frombuffer(i, "<i8") for at, i, _ in held.value[dim] if at == part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), dim, np.int32)), pa.array(np.full(len(place), part, np.int32)), pa.array(place), pa.array(q_ids[place]), pa.array(ids), pa.array(score)], ["dim", "part", "place", "query_id", "id", "score"])
+
+    # each task sends k hits a query at most, so there are few tasks for a core
+    hits = kept.coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(unit, "dim int, part int, place long, query_id long, id long, score double")
     w = Window.partitionBy("dim", "part", "place").orderBy(F.col("score").desc(), F.col("id"))
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")
+    out = written(hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score"), "forest-found")
+    held.destroy()
+    return out

@@ -339,6 +339,16 @@ def test_forest(spark):
     assert forest.neighbours(df.filter("false"), lambda id: id % 50 == 0).count() == 0
 
 
+def test_forest_sends_bounded_queries(spark):
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = forest.neighbours(df, lambda id: id % 20 == 0, block=100, queries=8)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # query vectors, repeated for every block, once went through the driver as a broadcast side
+    parts = forest.neighbours(df, lambda id: id % 20 == 0, block=100, queries=8, held=1)
+    assert sorted(parts.collect()) == sorted(whole.collect()) and whole.count() == 75
+
+
 PAGE = '<html><head><title>T</title></head><body class="x"><div id="top"><p>Site of all</p></div><nav><ul><li>Menu</li></ul></nav><div class="ad">Buy {k}</div><article><h1>Title {k}</h1><p><b>Text &amp; more {k}<br>line<p>Second<script>var a="</p>";</script> {k}</p><p>Share this page</p><section id="comments"><p>Reader {k}</p></section></article><aside>Side</aside><footer>&copy; {k}</footer></body></html>'
 
 
