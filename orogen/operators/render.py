@@ -32,12 +32,18 @@ def rays(spark, width: int, height: int, view: tuple) -> DataFrame:
     return spark.range(width * height).select(px.alias("px"), py.alias("py"), *((d[k] / size).alias(n) for k, n in enumerate(("ux", "uy", "uz"))))
 
 
+#: Points along rays that may be one side of a broadcast join.
+POINTS = 500_000
+
+
 def first_hit(directions: DataFrame, cells: DataFrame, eye: tuple[float, float, float], rows: int, columns: int, dx: float, dy: float, step: float, steps: int, layers: tuple[str, ...] = ()) -> DataFrame:
     """First of ``steps`` points along each ray at or below the ground: px, py, k, h (null for none), and layers of its cell."""
     at = directions.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     x, y, z = (F.lit(e) + F.col(u) * (F.col("k") * step) for e, u in zip(eye, ("ux", "uy", "uz"), strict=True))
     cell = at.select("px", "py", "k", F.floor(y / dy).alias("r"), F.floor(x / dx).alias("c"), z.alias("z"))
     inside = cell.filter(F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1))
+    # the planner takes the points for as few as the rays and would send any number of them through the driver
+    inside = inside if directions.count() * steps <= POINTS else inside.hint("merge")
     hit = inside.join(cells, ["r", "c"]).filter("z <= h").groupBy("px", "py").agg(F.min_by(F.struct("k", "h", *layers), "k").alias("m"))
     return directions.select("px", "py").join(hit, ["px", "py"], "left").select("px", "py", F.col("m.k").cast("long").alias("k"), F.col("m.h").alias("h"), *(F.col(f"m.{x}").alias(x) for x in layers))
 
