@@ -52,8 +52,8 @@ def test_azimuth_shadow_is_the_loop(spark, degrees):
 
 
 def test_points_of_large_views_are_not_broadcast(spark):
-    view = render.camera(0.3, -0.35, math.radians(60), 64, 36)
-    hits = lambda steps: render.first_hit(render.rays(spark, 64, 36, view), frame(spark, HILLS), (100.0, 400.0, 2600.0), 9, 7, 30.0, 30.0, 40.0, steps)
+    view = render.camera(0.3, -1.4, math.radians(60), 64, 36)
+    hits = lambda steps: render.first_hit(render.rays(spark, 64, 36, view), frame(spark, HILLS), (100.0, 130.0, 1900.0), 9, 7, 30.0, 30.0, 40.0, steps)
     plan = hits(1000)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan and "strategy=merge" not in hits(100)._jdf.queryExecution().optimizedPlan().toString()
     assert hits(250).filter("k is not null").collect() and sorted(hits(250).collect(), key=str) == sorted(hits(200).collect(), key=str)
