@@ -57,9 +57,10 @@ def level_label(scale: Column, factors: Column) -> Column:
 
 
 def clock_angle(x: Column, y: Column, centre_x: float, centre_y: float) -> Column:
-    """Clockwise angle from the top (y grows down), from 0 below a full turn."""
+    """Clockwise angle from the top (y grows down), from 0 below a full turn; half a turn at the centre."""
     a = F.atan2(x - centre_x, -(y - centre_y))
-    return F.when(a < 0, a + math.tau).otherwise(a)
+    # at the centre -(0) is a negative zero, which IEEE's atan2 tells from zero and Spark's does not
+    return F.when((x == centre_x) & (y == centre_y), math.pi).when(a < 0, a + math.tau).otherwise(a)
 
 
 def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -51,6 +51,31 @@ def test_azimuth_shadow_is_the_loop(spark, degrees):
     assert np.allclose(array(got, HILLS.shape, "lit"), loop_shadow(HILLS, math.radians(degrees), 0.4, 30.0, 30.0, 200.0))
 
 
+def test_clock_angle_at_the_centre_is_that_of_sql(spark):
+    from orogen.functions import viewer
+
+    points = [(x, y) for x in (-1.0, 0.0, 0.5) for y in (-1.0, 0.0, 0.5)]
+    got = spark.createDataFrame(points, "x double, y double").select("x", "y", viewer.clock_angle(F.col("x"), F.col("y"), 0.0, 0.0).alias("a")).collect()
+    assert len(got) == 9 and all(math.isclose(r["a"], math.atan2(r["x"], -r["y"]) % math.tau) for r in got)
+
+
+def test_sweep_across_strips_is_the_loop_and_runs_back_only(spark, monkeypatch):
+    monkeypatch.setattr(voids, "STRIP", 4, raising=False)
+    rng = np.random.default_rng(8)
+    h = np.round(rng.normal(1500, 80, (23, 6)), 3)
+    h[rng.random(h.shape) < 0.6] = np.nan
+    h[3:14, 2] = h[:, 5] = np.nan
+    got = voids.fill_sweep(frame(spark, h))
+    # a frame that follows the row is gone through again for every row
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    want = h.copy()
+    for i, j in np.argwhere(np.isnan(h)):
+        lines = (h[:i, j][::-1], h[i + 1 :, j], h[i, :j][::-1], h[i, j + 1 :])
+        near = [x[~np.isnan(x)][0] for x in lines if (~np.isnan(x)).any()]
+        want[i, j] = np.mean(near) if near else np.nan
+    assert np.allclose(array(got, h.shape), want, rtol=1e-12, atol=0, equal_nan=True)
+
+
 def test_points_of_large_views_are_not_broadcast(spark):
     view = render.camera(0.3, -1.4, math.radians(60), 64, 36)
     hits = lambda steps: render.first_hit(render.rays(spark, 64, 36, view), frame(spark, HILLS), (100.0, 130.0, 1900.0), 9, 7, 30.0, 30.0, 40.0, steps)
