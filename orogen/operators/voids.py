@@ -32,15 +32,28 @@ def elevation_range(cells: DataFrame) -> DataFrame:
     return valid.agg(F.min("h").alias("lowest"), F.max("h").alias("highest"), F.count("*").alias("valid"))
 
 
+#: Lines of the raster in a strip, whose columns are swept together.
+STRIP = 1024
+
+
 def fill_sweep(cells: DataFrame) -> DataFrame:
     """Voids become the mean of the nearest valid heights up, down, left and right; void if there is none.
 
-    Four running values over lines of the raster; the original voids stay voids to each other.
+    Running values over lines of the raster, in both directions; the original voids stay voids to each other.
+    Columns are swept in strips, which start with the last valid height of the strips before them, so that
+    a column is not one unit of work.
     """
-    line, column = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    back, on = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    near = {"up": F.last("h", True).over(column.rowsBetween(*back)), "down": F.first("h", True).over(column.rowsBetween(*on)), "left": F.last("h", True).over(line.rowsBetween(*back)), "right": F.first("h", True).over(line.rowsBetween(*on))}
-    found = cells.withColumns(near)
+    cells = cells.withColumn("strip", F.floor(F.col("r") / STRIP))
+    edges = cells.filter(F.col("h").isNotNull()).groupBy("strip", "c").agg(F.min_by("h", "r").alias("first"), F.max_by("h", "r").alias("last"))
+    strips = cells.groupBy("strip", "c").agg(F.count("*").alias("n")).drop("n").join(edges, ["strip", "c"], "left")
+    before, after = Window.partitionBy("c").orderBy("strip"), Window.partitionBy("c").orderBy(F.desc("strip"))
+    back = (Window.unboundedPreceding, -1)
+    strips = strips.select("strip", "c", F.last("last", True).over(before.rowsBetween(*back)).alias("above"), F.last("first", True).over(after.rowsBetween(*back)).alias("below"))
+    # a frame that runs back costs a step a row; one that runs on would be gone through again for every row
+    last = lambda key, *order: F.last("h", True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(*back))
+    found = cells.withColumns({"up": last(("strip", "c"), "r"), "down": last(("strip", "c"), F.desc("r"))}).withColumns({"left": last(("r",), "c"), "right": last(("r",), F.desc("c"))})
+    found = found.join(strips, ["strip", "c"], "left").withColumns({"up": F.coalesce("up", "above"), "down": F.coalesce("down", "below")})
+    near = ("up", "down", "left", "right")
     total = sum((F.coalesce(F.col(k), F.lit(0.0)) for k in near), F.lit(0.0))
     n = sum((F.col(k).isNotNull().cast("int") for k in near), F.lit(0))
     return found.select("r", "c", F.coalesce("h", F.try_divide(total, n.cast("double"))).alias("h"))
