@@ -103,6 +103,21 @@ def test_occlusion_across_tiles_is_the_mean_of_loops(spark, monkeypatch):
     assert np.allclose(array(got, h.shape, "ao"), np.mean(loops, axis=0), rtol=0, atol=1e-8)
 
 
+def test_whole_occlusion_query_across_tiles_joins_no_rays(spark, monkeypatch, tmp_path):
+    from orogen.plans.queries import QUERIES
+    from orogen.sources import tables
+
+    monkeypatch.setattr(shadow, "_tiling", lambda rows, columns: (9, 5), raising=False)
+    vectors = np.random.default_rng(6).normal(0, 0.2, (40, 12)).astype("f4").tolist()
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["ao_whole"](spark, str(tmp_path))
+    # a join of the rays of all azimuths with cells took the driver's memory at 6 times sf0.1
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    h = array(tables.raster(spark, str(tmp_path)), (40, 12))
+    loops = [loop_shadow(h, k * math.tau / 16, math.radians(10), 30.0, 30.0, 200.0) for k in range(16)]
+    assert got.count() == h.size and np.allclose(array(got, h.shape, "ao"), np.mean(loops, axis=0), rtol=0, atol=1e-6)
+
+
 def test_flat_ground_is_open_and_upright(spark):
     flat = frame(spark, np.full((6, 6), 100.0))
     assert set(array(shadow.ambient_occlusion(flat, 6, 6, 30.0, 30.0), (6, 6), "ao").ravel()) == {1.0}
